@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination
-from .common import table
+from . import decontamination, jaccard, mixing, quality, sharding
+from .common import materialise, table
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,9 +40,113 @@ from d left join words using (r) left join items using (r)
 """
 
 
+def op1_quality_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = materialise(quality.facts(table(spark, sf_dir, "documents")), "line-facts")
+    return quality.judge(known).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_words").cast("long").alias("removed_words"))
+
+
+OP1_SQL = r"""
+with d as (
+  select row_number() over () as r, doc_id, coalesce(text, '') as text, md5(coalesce(text, '')) as m, coalesce(source, '#none') as host,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w
+  from documents),
+base as (
+  select r, doc_id, m, host, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+         cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols from d),
+tri as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select r, w, unnest(range(1, len(w) - 1)) as i from d where len(w) > 2)),
+twice as (select r, i from (select r, i, count(*) over (partition by r, g) as n from tri) where n > 1),
+rep as (select r, count(distinct p) as n from (select r, unnest([i, i + 1, i + 2]) as p from twice) group by r),
+raw as (select r, m, host, doc_id, unnest(string_split(text, chr(10))) as line from d),
+line as (select r, m, host, doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') as lw from raw where regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup as (select r, count(*) - count(distinct line) as n from line group by r),
+norm as (
+  select r, m, host, doc_id, len(lw) as words,
+         regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') as key from line),
+texts as (select host, key, m, min(id) as id, any_value(words) as words from (select r, host, key, m, coalesce(min(doc_id), 9223372036854775807) as id, sum(words) as words from norm group by r, host, key, m) group by host, key, m),
+sizes as (select host, count(distinct m) as texts from base group by host),
+over as (select host, key, n, first_m from (select host, key, count(*) as n, arg_min(m, (id, m)) as first_m from texts group by host, key) join sizes using (host) where n > greatest(20.0, 0.005 * texts)),
+removed as (select host, m, sum(words) as n from texts join over using (host, key) where m <> first_m group by host, m)
+select doc_id, n_words, word_chars, n_symbols, cast(coalesce(dup.n, 0) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words,
+       n_words < 50 or 100 * coalesce(rep.n, 0) > 50 * n_words as base_failed,
+       not (n_words < 50 or 100 * coalesce(rep.n, 0) > 50 * n_words) and not coalesce(removed.n, 0) > 0.5 * n_words as kept,
+       cast(coalesce(removed.n, 0) as bigint) as removed_words
+from base left join dup using (r) left join rep using (r) left join removed using (host, m)
+"""
+
+
+def op4_mixing_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+         cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id as varchar), 'null')), 1, 12) as bigint) as draw
+  from documents),
+b as (select *, draw // 68719476736 as bin, (draw % 68719476736) // 16777216 as fine from d),
+s as (select source, cast(sum(size) as bigint) as source_size from b group by source),
+w as (select *, cast([1, 2, 3][1 + (row_number() over (order by source nulls last) - 1) % 3] as double) as weight from s),
+c as (select *, 3.0::double * source_size as cap, 3.0::double * source_size / weight as ratio from w),
+t as (
+  select *, sum(source_size::double) over () as total, sum(weight) over () as all_weight,
+         sum(cap) over (order by ratio, source nulls last rows between unbounded preceding and current row) as capped,
+         coalesce(sum(weight) over (order by ratio, source nulls last rows between 1 following and unbounded following), 0) as open from c),
+l as (select *, case when open > 0 and (total - capped) / open >= ratio then (total - capped) / open end as level from t),
+g as (select coalesce((select arg_max(level, (capped, level)) from l where level is not null), (select any_value(total / all_weight) from l)) as level),
+p as (
+  select source as s, source_size, least(cap, weight * g.level) as target from l, g),
+q as (select *, floor(case when source_size > 0 then target / source_size else 0 end) as whole from p),
+q2 as (select *, target - whole * source_size as part from q),
+bins as (select source, bin, sum(size) as size from b group by source, bin),
+low as (select *, coalesce(sum(size) over (partition by source order by bin rows between unbounded preceding and 1 preceding), 0) as low from bins),
+edge as (select source, bin, low, part from low join q2 on source is not distinct from s where low <= part and part < low + size),
+inner_bins as (select b.source, b.bin, b.fine, e.low, e.part, sum(b.size) as size from b join edge e on b.source is not distinct from e.source and b.bin = e.bin group by all),
+gaps as (select *, abs(low + sum(size) over (partition by source order by fine rows between unbounded preceding and current row) - part) as gap from inner_bins),
+best as (select source as cs, bin, min((gap, fine)) as x, any_value(part - low) as none from gaps group by source, bin),
+cuts as (select cs, bin * 68719476736 + case when none <= x[1] then 0 else (x[2] + 1) * 16777216 end as cut from best)
+select doc_id, size, source_size, target, cast((whole + case when draw < coalesce(cut, 0) then 1 else 0 end) * size as bigint) as taken
+from b join q2 on source is not distinct from s left join cuts on source is not distinct from cs
+"""
+
+
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+with recursive d as (
+  select row_number() over () as r, doc_id, md5(array_to_string(w, ' ')) as m, w
+  from (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents)),
+rep as (select m, min(doc_id) as id, any_value(w) as w from d where len(w) > 0 group by m),
+sh as (select distinct id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') as g from (select id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from rep)),
+n as (select id, count(*) as n from sh group by id),
+rare as (select g from sh group by g having count(*) > 1),
+shared as (select id, g from sh semi join rare using (g)),
+pair as (select x.id as a, y.id as b, count(*) as both from shared x join shared y on x.g = y.g and x.id < y.id group by x.id, y.id),
+link as (select a, b from pair join n p on p.id = a join n q on q.id = b where 100 * "both" >= 80 * (p.n + q.n - "both")),
+edge as (select a, b from link union select b, a from link),
+reach(id, other) as (select id, id from rep union select reach.id, edge.b from reach join edge on reach.other = edge.a),
+comp as (select id, min(other) as component_id from reach group by id)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, coalesce(component_id, doc_id) as component_id
+from d left join rep using (m) left join n on n.id = rep.id left join comp on comp.id = rep.id
+"""
+
+
+def op8_sharding_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sharding.shard(table(spark, sf_dir, "documents"), 40)
+    return s.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
+    "op1_quality_line_frequency": op1_quality_line_frequency,
+    "op4_mixing_water_filling": op4_mixing_water_filling,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_sharding_bin_packing": op8_sharding_bin_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 ORACLES = {
+    "op1_quality_line_frequency": OP1_SQL,
+    "op4_mixing_water_filling": OP4_SQL,
+    "op7_ngram_jaccard_join": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
 }
