@@ -175,32 +175,41 @@ def subset_tokens(s: np.ndarray, light: int) -> list[int]:
     return out
 
 
-def _poster(shared, light: int, buckets: int):
-    """Postings of all texts: blocks of (token, set) by bucket, and rows (run, set) for hot tokens."""
+def _signer(shared, light: int):
+    """set_id, n, prefix and subset tokens of each set; the prefix is in the global order."""
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, rank, hot = shared.value
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, rank, _ = shared.value
         ids, seen = _Ids(), set()
         for batch in batches:
-            tokens, owner = [], []
+            rows = []
             for text in _texts(batch):
                 s = shingle_set(text or b"", ids)
-                if not len(s):
-                    continue
                 key = _set_id(s)
-                if key in seen:
+                if not len(s) or key in seen:
                     continue
                 seen.add(key)
-                mine = []
-                if len(s) <= light:
-                    mine.append(np.array(subset_tokens(s, light), np.uint64))
-                if len(s) >= needed(light + 1):
-                    mine.append(ordered(s, frequent, rank)[: prefix_length(len(s))])
-                mine = np.concatenate(mine)
-                tokens.append(mine)
-                owner.append(np.full(len(mine), key, np.int64))
+                subsets = np.array(subset_tokens(s, light), np.uint64) if len(s) <= light else s[:0]
+                rows.append((key, len(s), ordered(s, frequent, rank)[: prefix_length(len(s))].tobytes(), subsets.tobytes()))
             if len(seen) > 1_000_000:
                 seen.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["set_id", "n", "prefix", "subsets"])
+
+    return sign
+
+
+def _poster(shared, light: int, buckets: int):
+    """Postings of all sets: blocks of (token, set) by bucket, and rows (run, set) for hot tokens."""
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value[2]
+        for batch in batches:
+            tokens, owner = [], []
+            for key, n, prefix, subsets in zip(*(batch.column(c).to_pylist() for c in ("set_id", "n", "prefix", "subsets"))):
+                mine = np.frombuffer(subsets + prefix if n >= needed(light + 1) else subsets, np.uint64)
+                tokens.append(mine)
+                owner.append(np.full(len(mine), key, np.int64))
             if not tokens:
                 continue
             t, o = np.concatenate(tokens), np.concatenate(owner)
@@ -270,39 +279,73 @@ def _sets_of(shared):
             at = h & (FILTER_BITS - 1)
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
             if batch.num_rows:
-                sets = [shingle_set(t or b"", ids).tobytes() for t in _texts(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "tokens"])
+                sets = [shingle_set(t or b"", ids) for t in _texts(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "tokens"])
 
     return cut
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by pivot and group, the pivot's own set first."""
-    pivot = key = None
-    for batch in batches:
-        a, b = [], []
-        cols = [batch.column(c).to_pylist() for c in ("a", "salt", "other", "id", "tokens")]
-        for row_a, salt, other, row_id, tokens in zip(*cols):
-            if not other:
-                key, pivot = (row_a, salt), np.frombuffer(tokens, np.uint64)
-                continue
-            assert key == (row_a, salt), "a pivot's set is missing"
-            s = np.frombuffer(tokens, np.uint64)
-            small, large = (s, pivot) if len(s) <= len(pivot) else (pivot, s)
-            both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
-            if 100 * both >= PERCENT * (len(s) + len(pivot) - both):
-                a.append(row_a)
-                b.append(row_id)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. A pivot's pairs are split into groups of about GROUP."""
+def overlap(small: np.ndarray, large: np.ndarray) -> int:
+    """Common elements of two sorted sets."""
+    if len(small) > len(large):
+        small, large = large, small
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+
+
+def links_exactly(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    both = overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
+    return 100 * both >= PERCENT * (nx + ny - both)
+
+
+def may_link(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+    """Can sets with these prefixes link? What stands in one prefix only, up to the end of the one that ends first, is in one set only."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    i, j = (int(i.max()) + 1, int(j.max()) + 1) if len(common) else (0, 0)
+    apart = i + j - 2 * len(common) + min(len(a) - i, len(b) - j)
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (nx + ny)
+
+
+def _tester(test):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by pivot and group, the pivot's own first."""
+        pivots, key = [], None  # more than one only if texts share a doc_id
+        for batch in batches:
+            a, b = [], []
+            for row_a, salt, other, row_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "other", "id", "n", "tokens"))):
+                if not other:
+                    pivots = [*pivots, (tokens, n)] if key == (row_a, salt) else [(tokens, n)]
+                    key = (row_a, salt)
+                    continue
+                assert key == (row_a, salt), "a pivot is missing"
+                if any(test(p, tokens, size, n) for p, size in pivots):
+                    a.append(row_a)
+                    b.append(row_id)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) that pass a test of both rows (id, n, tokens). A pivot's pairs are split into groups of about GROUP."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
     ask = salted.select("a", "salt", F.col("b").alias("id"), F.lit(True).alias("other")).unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(False).alias("other")))
-    rows = ask.join(sets, "id").select("a", "salt", "other", "id", "tokens")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_verify, "a long, b long")
+    rows = ask.join(sets, "id").select("a", "salt", "other", "id", "n", "tokens")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test), "a long, b long")
+
+
+def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, n, tokens of the sets in pairs. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
+    spark = docs.sparkSession
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "shingle-ids")
+    bits = ids.select(F.expr(f"xxhash64(id) & {FILTER_BITS - 1}").alias("at"))
+    words = bits.groupBy(F.expr("at div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("x")).toPandas()  # FILTER_BITS / 8 rows at most
+    filled = np.zeros(FILTER_BITS // 8, np.uint8)
+    filled[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
+    again = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(spark.sparkContext.broadcast(filled)), "id long, n int, tokens binary")
+    # Rows of one doc_id may differ in their text; then all of them were candidates' names and any link counts for the id.
+    return again.join(ids, "id", "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -352,18 +395,14 @@ def classes(documents: DataFrame) -> DataFrame:
     reps = materialise(own.groupBy("n", "set_id").agg(F.min("doc_id").alias("id")), "shingle-classes")
     small = dict(reps.where(F.col("n") <= MAX_LIGHT * 5 // 4).groupBy("n").count().collect())
     light = boundary(small)
-    posted = docs.mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long")
+    signed = materialise(docs.mapInArrow(_signer(shared, light), "set_id long, n int, prefix binary, subsets binary"), "shingle-prefixes")
+    posted = signed.mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long")
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("run", "set_id"), F.lit(4 * partitions)).cast("int"))
     runs = posted.repartition(partitions, spread).mapInArrow(_runs, "run long, set_id long").distinct()
     runs = materialise(runs.join(reps, "set_id").select("run", "id", "n").where(F.col("id").isNotNull()), "shingle-runs")
-
-    bits = runs.select("id").distinct().select(F.expr(f"xxhash64(id) & {FILTER_BITS - 1}").alias("at"))
-    words = bits.groupBy(F.expr("at div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("x")).toPandas()  # FILTER_BITS / 8 rows at most
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    filled[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    inside = spark.sparkContext.broadcast(filled)
-    again = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(inside), "id long, tokens binary")
-    sets = materialise(again.join(runs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "shingle-sets")
+    inside = runs.join(reps.select("id", "set_id"), "id").select("id", "set_id").distinct()
+    prefixes = materialise(signed.join(inside, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", F.col("prefix").alias("tokens")), "shingle-listed")
+    forget(signed)
 
     links, tried, comp, open_runs = None, None, None, runs
     for turn in range(STAR_ROUNDS + 1):
@@ -379,7 +418,11 @@ def classes(documents: DataFrame) -> DataFrame:
             told = tried.union(tried.select("b", "a"))
             pairs = pairs.join(told, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "shingle-pairs")
-        found = materialise(verify(pairs, sets), "shingle-links")
+        likely = materialise(tested(pairs, prefixes, may_link), "shingle-likely")
+        if likely.isEmpty():
+            found = likely
+        else:
+            found = materialise(tested(likely, full_sets(docs, likely), links_exactly), "shingle-links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         comp = components(links)
