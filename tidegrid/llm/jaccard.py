@@ -36,7 +36,7 @@ WIDTH = 5
 #: Links when PERCENT_I * intersection >= PERCENT_U * union.
 PERCENT = 80
 #: Length of the list of frequent tokens, entries a task adds to it, and the texts of a batch that make a token one.
-FREQUENT, FREQUENT_TASK, FREQUENT_FROM = 100_000, 20_000, 4
+FREQUENT, FREQUENT_TASK, FREQUENT_FROM = 500_000, 100_000, 2
 #: A frequent token in so many texts is posted as rows, not in blocks, so that no task holds all its sets.
 HOT = 100_000
 #: Largest boundary that is considered.
@@ -46,6 +46,8 @@ GROUP = 512
 #: Bits of the filter by which only texts of listed sets are cut again; more sets than it can tell apart cost time only.
 FILTER_BITS = 1 << 24
 STAR_ROUNDS = 2
+#: From this size on a component is compared with what it may link to in blocks, not pair by pair; members or others of a block.
+BIG, BLOCK = 64, 512
 
 _MULT = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) | 1 for k in range(WIDTH)], np.uint64)
 
@@ -205,68 +207,69 @@ def _poster(shared, light: int, buckets: int):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value[2]
         for batch in batches:
-            tokens, owner = [], []
+            tokens, owner, place = [], [], []
             for key, n, prefix, subsets in zip(*(batch.column(c).to_pylist() for c in ("set_id", "n", "prefix", "subsets"))):
                 mine = np.frombuffer(subsets + prefix if n >= needed(light + 1) else subsets, np.uint64)
                 tokens.append(mine)
                 owner.append(np.full(len(mine), key, np.int64))
+                place.append(np.maximum(np.arange(len(mine), dtype=np.int32) - len(subsets) // 8, 0).astype(np.uint32))
             if not tokens:
                 continue
-            t, o = np.concatenate(tokens), np.concatenate(owner)
+            t, o, at = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
             direct = np.isin(t, hot) if len(hot) else np.zeros(len(t), bool)
             if direct.any():
                 k = int(direct.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(t[direct].view(np.int64)), pa.array(o[direct])], ["bucket", "block", "run", "set_id"])
-                t, o = t[~direct], o[~direct]
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(t[direct].view(np.int64)), pa.array(o[direct]), pa.array(at[direct].view(np.int32))], ["bucket", "block", "run", "set_id", "pos"])
+                t, o, at = t[~direct], o[~direct], at[~direct]
             b = (t % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
-            b, t, o = b[order], (t[order] >> np.uint64(32)).astype(np.uint32), o[order]
+            b, t, o, at = b[order], (t[order] >> np.uint64(32)).astype(np.uint32), o[order], at[order]
             cut = np.flatnonzero(np.diff(b, prepend=-1))
             ends = [*cut[1:], len(b)]
-            blocks = [t[i:j].tobytes() + o[i:j].tobytes() for i, j in zip(cut, ends)]
-            yield pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.array(blocks, pa.binary()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64())], ["bucket", "block", "run", "set_id"])
+            blocks = [t[i:j].tobytes() + at[i:j].tobytes() + o[i:j].tobytes() for i, j in zip(cut, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(b[cut]), pa.array(blocks, pa.binary()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int64()), pa.nulls(len(cut), pa.int32())], ["bucket", "block", "run", "set_id", "pos"])
 
     return post
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of two sets or more; equal lists once."""
-    keys, owners, out_run, out_set = [], [], [], []
+    """The lists of two sets or more; of equal lists only that of the token which comes first in the sets."""
+    keys, places, owners, out = [], [], [], []
     for batch in batches:
-        for bucket, block, run, owner in zip(*(c.to_pylist() for c in batch.columns)):
+        for bucket, block, run, owner, pos in zip(*(c.to_pylist() for c in batch.columns)):
             if block is None:
-                out_run.append(np.array([run]))
-                out_set.append(np.array([owner]))
+                out.append((np.array([run]), np.array([owner]), np.array([pos], np.int32)))
                 continue
-            n = len(block) // 12
+            n = len(block) // 16
             keys.append((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(block, np.uint32, n).astype(np.uint64))
-            owners.append(np.frombuffer(block, np.int64, n, 4 * n))
+            places.append(np.frombuffer(block, np.uint32, n, 4 * n))
+            owners.append(np.frombuffer(block, np.int64, n, 8 * n))
     if keys:
-        k, o = np.concatenate(keys), np.concatenate(owners)
-        del keys, owners
+        k, o, at = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
+        del keys, owners, places
         order = np.argsort(k, kind="stable")
-        k, o = k[order], o[order]
+        k, o, at = k[order], o[order], at[order]
         same = np.zeros(len(k), bool)
         same[1:] = k[1:] == k[:-1]
         same[:-1] |= same[1:]
-        k, o = k[same], o[same]  # most tokens stand alone
-        order = np.lexsort((o, k))
-        k, o = k[order], o[order]
+        k, o, at = k[same], o[same], at[same]  # most tokens stand alone
+        order = np.lexsort((at, o, k))
+        k, o, at = k[order], o[order], at[order]
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        k, o = k[fresh], o[fresh]
+        k, o, at = k[fresh], o[fresh], at[fresh]
         if len(k):
             start = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.append(start, len(k)))
             with np.errstate(over="ignore"):
                 name = np.add.reduceat(mixed(mixed(o.view(np.uint64)) + np.uint64(0x51)), start)
+            first = np.lexsort((np.add.reduceat(at.astype(np.int64), start), name))
             pick = np.zeros(len(start), bool)
-            pick[np.unique(name, return_index=True)[1]] = True
+            pick[first[np.concatenate([[True], name[first][1:] != name[first][:-1]])]] = True
             member = np.repeat(pick & (size > 1), size)
-            out_run.append(np.repeat(name, size)[member].view(np.int64))
-            out_set.append(o[member])
-    if out_run:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_run)), pa.array(np.concatenate(out_set))], ["run", "set_id"])
+            out.append((np.repeat(name, size)[member].view(np.int64), o[member], at[member].view(np.int32)))
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["run", "set_id", "pos"])
 
 
 def _sets_of(shared):
@@ -335,10 +338,44 @@ def tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test), "a long, b long")
 
 
-def full_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id, n, tokens of the sets in pairs. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
+def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell, a component's members before the others; a link to one member is enough."""
+    members, cell = [], None
+    for batch in batches:
+        a, b = [], []
+        for *here, other, row_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("comp", "row", "col", "other", "id", "n", "tokens"))):
+            if here != cell:
+                members, cell = [], here
+            if not other:
+                members.append((row_id, n, tokens))
+                continue
+            for m, size, own in members:
+                if 100 * min(n, size) >= PERCENT * max(n, size) and links_exactly(own, tokens, size, n):
+                    a.append(m)
+                    b.append(row_id)
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def compared(docs: DataFrame, lists: DataFrame, big: DataFrame) -> DataFrame:
+    """Links (a, b) of big components' members with all else in their lists. Cells of BLOCK by BLOCK sets, so rows grow with the sets, not the pairs."""
+    members = lists.join(big, "comp").select("comp", "id").distinct()
+    met = lists.select("run", "comp").distinct().join(big.select("comp"), "comp").select("run", F.col("comp").alias("c"))
+    other = lists.select("run", "id", "comp").join(big.select("comp", F.lit(True).alias("big")), "comp", "left").join(met, "run")
+    other = other.where(F.when(F.col("big"), F.col("c") < F.col("comp")).otherwise(F.col("c") != F.col("comp"))).select(F.col("c").alias("comp"), "id").distinct()
+    shape = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows")).join(other.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cols")), "comp")
+    row, col = F.pmod(F.xxhash64("id"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("id"), F.col("cols")).cast("int")
+    left = members.join(shape, "comp").select("comp", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(False).alias("other"), "id")
+    right = other.join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), col.alias("col"), F.lit(True).alias("other"), "id")
+    ask = materialise(left.unionByName(right), "shingle-grid")
+    rows = ask.join(full_sets(docs, ask.select("id")), "id").select("comp", "row", "col", "other", "id", "n", "tokens")
+    return rows.repartition("comp", "row", "col").sortWithinPartitions("comp", "row", "col", "other").mapInArrow(_grid, "a long, b long")
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, tokens of the sets listed. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
     spark = docs.sparkSession
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "shingle-ids")
+    ids = materialise(ids.distinct(), "shingle-ids")
     bits = ids.select(F.expr(f"xxhash64(id) & {FILTER_BITS - 1}").alias("at"))
     words = bits.groupBy(F.expr("at div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("x")).toPandas()  # FILTER_BITS / 8 rows at most
     filled = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -370,6 +407,11 @@ def _close(a: str, b: str):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
+def _near_front(na: str, pa: str, nb: str, pb: str):
+    """Can this be the first token that two linked sets share? All before it are in one of them only."""
+    return (100 + PERCENT) * (F.col(pa) + F.col(pb)) <= (100 - PERCENT) * (F.col(na) + F.col(nb))
+
+
 def classes(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
@@ -396,23 +438,31 @@ def classes(documents: DataFrame) -> DataFrame:
     small = dict(reps.where(F.col("n") <= MAX_LIGHT * 5 // 4).groupBy("n").count().collect())
     light = boundary(small)
     signed = materialise(docs.mapInArrow(_signer(shared, light), "set_id long, n int, prefix binary, subsets binary"), "shingle-prefixes")
-    posted = signed.mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long")
+    posted = signed.mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long, pos int")
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("run", "set_id"), F.lit(4 * partitions)).cast("int"))
-    runs = posted.repartition(partitions, spread).mapInArrow(_runs, "run long, set_id long").distinct()
-    runs = materialise(runs.join(reps, "set_id").select("run", "id", "n").where(F.col("id").isNotNull()), "shingle-runs")
-    inside = runs.join(reps.select("id", "set_id"), "id").select("id", "set_id").distinct()
+    runs = posted.repartition(partitions, spread).mapInArrow(_runs, "run long, set_id long, pos int").groupBy("run", "set_id").agg(F.min("pos").alias("pos"))
+    runs = materialise(runs.join(reps, "set_id").where(F.col("id").isNotNull()).select("run", "id", "n", "pos", "set_id"), "shingle-runs")
+    inside = runs.groupBy("id", "set_id").agg(F.count("*").alias("lists"))
+    runs = materialise(runs.drop("set_id").join(inside.select("id", "lists").groupBy("id").agg(F.max("lists").alias("lists")), "id"), "shingle-lists")
     prefixes = materialise(signed.join(inside, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", F.col("prefix").alias("tokens")), "shingle-listed")
     forget(signed)
 
     links, tried, comp, open_runs = None, None, None, runs
     for turn in range(STAR_ROUNDS + 1):
         if turn < STAR_ROUNDS:
-            one = open_runs.groupBy("run").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n")).alias("p"))
-            met = open_runs.join(one, "run").where((F.col("id") != F.col("p.id")) & _close("n", "p.n"))
+            # First the set that shares most, as the text from which copies were made does, then any.
+            worth = F.col("lists") if turn == 0 else F.lit(0)
+            one = open_runs.groupBy("run").agg(F.max(F.struct(worth.alias("worth"), F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "pos")).alias("p"))
+            met = open_runs.join(one, "run").where((F.col("id") != F.col("p.id")) & _close("n", "p.n") & _near_front("n", "pos", "p.n", "p.pos"))
             pairs = met.select(F.col("p.id").alias("a"), F.col("id").alias("b"))
         else:
-            x, y = open_runs.select("run", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), open_runs.select("run", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-            pairs = x.join(y, "run").where((F.col("ca") < F.col("cb")) & _close("na", "nb")).select("a", "b")
+            sizes = open_runs.select("id", "comp").distinct().groupBy("comp").count()
+            big = materialise(sizes.where(F.col("count") > BIG).select("comp"), "shingle-big")
+            if not big.isEmpty():
+                links = links.unionByName(materialise(compared(docs, open_runs, big), "shingle-links"))
+            rest = open_runs.join(big, "comp", "left_anti")
+            x, y = rest.select("run", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca")), rest.select("run", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+            pairs = x.join(y, "run").where((F.col("ca") < F.col("cb")) & _close("na", "nb") & _near_front("na", "pa", "nb", "pb")).select("a", "b")
         pairs = pairs.select("a", "b").distinct()
         if tried is not None:
             told = tried.union(tried.select("b", "a"))
@@ -422,7 +472,7 @@ def classes(documents: DataFrame) -> DataFrame:
         if likely.isEmpty():
             found = likely
         else:
-            found = materialise(tested(likely, full_sets(docs, likely), links_exactly), "shingle-links")
+            found = materialise(tested(likely, full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id"))), links_exactly), "shingle-links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         comp = components(links)
@@ -430,7 +480,7 @@ def classes(documents: DataFrame) -> DataFrame:
             break
         labelled = open_runs.drop("comp").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         mixed_runs = labelled.groupBy("run").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("run")
-        open_runs = materialise(labelled.join(mixed_runs, "run", "left_semi").select("run", "id", "n", "comp"), "shingle-open")
+        open_runs = materialise(labelled.join(mixed_runs, "run", "left_semi").select("run", "id", "n", "pos", "lists", "comp"), "shingle-open")
         if open_runs.isEmpty():
             break
 
