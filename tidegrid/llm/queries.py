@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, line_spread, mixing, quality, sharding, warc
+from . import chat, decontamination, jaccard, line_spread, mixing, pitman_yor, quality, sharding, toxicity, warc
 from .common import materialise, table
 
 
@@ -198,15 +198,26 @@ from d left join k using (r) group by r
 """
 
 
+def op3_toxicity_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op10_lm_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_line_frequency": op1_quality_line_frequency,
     "op2_warc_zip_reader": op2_warc_zip_reader,
+    "op3_toxicity_noisy_channel": op3_toxicity_noisy_channel,
     "op4_mixing_water_filling": op4_mixing_water_filling,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_line_site_spread": op6_line_site_spread,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_sharding_bin_packing": op8_sharding_bin_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_lm_pitman_yor": op10_lm_pitman_yor,
 }
 ORACLES = {
     "op1_quality_line_frequency": OP1_SQL,
