@@ -245,7 +245,7 @@ def occupied_bw(spark, d):
 # Symbols and bits
 
 
-@query(f"with {IQ}, z as (select n, i - 0.5 as i, q - 0.5 as q from iq), k as (select n, p, (i - c) * (i - c) + (q - s) * (q - s) as dist from z, (values (0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)) t(p, c, s)) select n, round(min(dist) filter (p % 2 = 1) - min(dist) filter (p % 2 = 0), 9) + 0.0 as llr0, round(min(dist) filter (p >= 2) - min(dist) filter (p < 2), 6) + 0.0 as llr1 from k group by n")
+@query(f"with {IQ}, z as (select n, i - 0.5 as i, q - 0.5 as q from iq), k as (select n, p, (i - c) * (i - c) + (q - s) * (q - s) as dist from z, (values (0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)) t(p, c, s)) select n, round(min(dist) filter (p % 2 = 1) - min(dist) filter (p % 2 = 0), 9) + 0.0 as llr0, round(min(dist) filter (p >= 2) - min(dist) filter (p < 2), 9) + 0.0 as llr1 from k group by n")
 def nearest_point_llr(spark, d):
     points = spark.createDataFrame([(0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)], "p int, c double, s double").collect()
     i, q = F.col("i") - 0.5, F.col("q") - 0.5
@@ -361,9 +361,9 @@ def file_identity(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(t.cast("binary"), 256).alias("sha256"), F.octet_length(t).cast("long").alias("size"))
 
 
-@query("select event_type, user_id % 3 as family, grouping_id(event_type, user_id % 3) as level, count(*) as n, round(avg(value), 6) + 0.0 as mean from events group by rollup (event_type, user_id % 3)")
+@query("select event_type, cast(user_id % 3 as varchar) as family, grouping_id(event_type, cast(user_id % 3 as varchar)) as level, count(*) as n, round(avg(value), 6) + 0.0 as mean from events group by rollup (event_type, cast(user_id % 3 as varchar))")
 def split_rollup(spark, d):
-    e = table(spark, d, "events").withColumn("family", F.col("user_id") % 3)
+    e = table(spark, d, "events").withColumn("family", (F.col("user_id") % 3).cast("string"))
     return e.rollup("event_type", "family").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
 
 
