@@ -36,7 +36,9 @@ WIDTH = 5
 #: Links when PERCENT_I * intersection >= PERCENT_U * union.
 PERCENT = 80
 #: Length of the list of frequent tokens, entries a task adds to it, and the texts of a batch that make a token one.
-FREQUENT, FREQUENT_TASK, FREQUENT_FROM = 500_000, 100_000, 2
+FREQUENT, FREQUENT_TASK, FREQUENT_FROM = 200_000, 100_000, 2
+#: Bits of a set's parity sketch: sets differ by at least as many tokens as their sketches by bits.
+SKETCH = 1024
 #: A frequent token in so many texts is posted as rows, not in blocks, so that no task holds all its sets.
 HOT = 100_000
 #: Largest boundary that is considered.
@@ -169,6 +171,12 @@ def ordered(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray
     return np.concatenate([s[~known], often[np.argsort(rank[at[known]], kind="stable")]])
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """For each of SKETCH classes of tokens, whether the set has an odd number of them."""
+    odd = np.bincount((s >> np.uint64(64 - (SKETCH.bit_length() - 1))).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def subset_tokens(s: np.ndarray, light: int) -> list[int]:
     out = []
     for t in subset_sizes(len(s), light):
@@ -192,11 +200,11 @@ def _signer(shared, light: int):
                     continue
                 seen.add(key)
                 subsets = np.array(subset_tokens(s, light), np.uint64) if len(s) <= light else s[:0]
-                rows.append((key, len(s), ordered(s, frequent, rank)[: prefix_length(len(s))].tobytes(), subsets.tobytes()))
+                rows.append((key, len(s), ordered(s, frequent, rank)[: prefix_length(len(s))].tobytes(), subsets.tobytes(), sketch(s)))
             if len(seen) > 1_000_000:
                 seen.clear()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["set_id", "n", "prefix", "subsets"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())))], ["set_id", "n", "prefix", "subsets", "sketch"])
 
     return sign
 
@@ -334,7 +342,7 @@ def tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
     ask = salted.select("a", "salt", F.col("b").alias("id"), F.lit(True).alias("other")).unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(False).alias("other")))
-    rows = ask.join(sets, "id").select("a", "salt", "other", "id", "n", "tokens")
+    rows = ask.join(sets.select("id", "n", "tokens"), "id").select("a", "salt", "other", "id", "n", "tokens")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test), "a long, b long")
 
 
@@ -372,6 +380,14 @@ def compared(docs: DataFrame, lists: DataFrame, big: DataFrame) -> DataFrame:
     return rows.repartition("comp", "row", "col").sortWithinPartitions("comp", "row", "col", "other").mapInArrow(_grid, "a long, b long")
 
 
+def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sketches do not rule a link out: linked sets differ by few enough tokens."""
+    x = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    y = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, k: t + k)
+    return pairs.join(x, "a").join(y, "b").where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n, tokens of the sets listed. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
     spark = docs.sparkSession
@@ -437,14 +453,14 @@ def classes(documents: DataFrame) -> DataFrame:
     reps = materialise(own.groupBy("n", "set_id").agg(F.min("doc_id").alias("id")), "shingle-classes")
     small = dict(reps.where(F.col("n") <= MAX_LIGHT * 5 // 4).groupBy("n").count().collect())
     light = boundary(small)
-    signed = materialise(docs.mapInArrow(_signer(shared, light), "set_id long, n int, prefix binary, subsets binary"), "shingle-prefixes")
-    posted = signed.mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long, pos int")
+    signed = materialise(docs.mapInArrow(_signer(shared, light), "set_id long, n int, prefix binary, subsets binary, sketch array<long>"), "shingle-prefixes")
+    posted = signed.select("set_id", "n", "prefix", "subsets").mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long, pos int")
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("run", "set_id"), F.lit(4 * partitions)).cast("int"))
     runs = posted.repartition(partitions, spread).mapInArrow(_runs, "run long, set_id long, pos int").groupBy("run", "set_id").agg(F.min("pos").alias("pos"))
     runs = materialise(runs.join(reps, "set_id").where(F.col("id").isNotNull()).select("run", "id", "n", "pos", "set_id"), "shingle-runs")
     inside = runs.groupBy("id", "set_id").agg(F.count("*").alias("lists"))
     runs = materialise(runs.drop("set_id").join(inside.select("id", "lists").groupBy("id").agg(F.max("lists").alias("lists")), "id"), "shingle-lists")
-    prefixes = materialise(signed.join(inside, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", F.col("prefix").alias("tokens")), "shingle-listed")
+    prefixes = materialise(signed.join(inside, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", F.col("prefix").alias("tokens"), "sketch"), "shingle-listed")
     forget(signed)
 
     links, tried, comp, open_runs = None, None, None, runs
@@ -468,7 +484,7 @@ def classes(documents: DataFrame) -> DataFrame:
             told = tried.union(tried.select("b", "a"))
             pairs = pairs.join(told, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "shingle-pairs")
-        likely = materialise(tested(pairs, prefixes, may_link), "shingle-likely")
+        likely = materialise(tested(materialise(sketched(pairs, prefixes), "shingle-close"), prefixes, may_link), "shingle-likely")
         if likely.isEmpty():
             found = likely
         else:
