@@ -139,7 +139,7 @@ class Restorer:
             lead = raw.strip(EDGE.replace("(", "").replace("<", "").replace("!", ""))
             found = (t,) if t else ()
             if SUSPECT.match(lead) and not t.isdigit():
-                found = tuple(dict.fromkeys([*decode(lead, self.model).split(), *found]))
+                found = tuple(dict.fromkeys([*filter(None, (w.strip(EDGE) for w in decode(lead, self.model).split())), *found]))
             self.known[raw] = found
         return found
 
