@@ -245,13 +245,13 @@ def occupied_bw(spark, d):
 # Symbols and bits
 
 
-@query(f"with {IQ}, z as (select n, i - 0.5 as i, q - 0.5 as q from iq), k as (select n, p, (i - c) * (i - c) + (q - s) * (q - s) as dist from z, (values (0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)) t(p, c, s)) select n, round(min(dist) filter (p % 2 = 1) - min(dist) filter (p % 2 = 0), 9) + 0.0 as llr0, round(min(dist) filter (p >= 2) - min(dist) filter (p < 2), 9) + 0.0 as llr1 from k group by n")
+@query(f"with {IQ}, z as (select n, i - 0.5 as i, q - 0.5 as q from iq), k as (select n, p, (i - c) * (i - c) + (q - s) * (q - s) as dist from z, (values (0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)) t(p, c, s)) select n, round(min(dist) filter (p % 2 = 1) - min(dist) filter (p % 2 = 0), 12) + 0.0 as llr0, round(min(dist) filter (p >= 2) - min(dist) filter (p < 2), 12) + 0.0 as llr1 from k group by n")
 def nearest_point_llr(spark, d):
     points = spark.createDataFrame([(0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)], "p int, c double, s double").collect()
     i, q = F.col("i") - 0.5, F.col("q") - 0.5
     dist = {x["p"]: cx.power(i - x["c"], q - x["s"]) for x in points}
     best = lambda keep: F.least(*(v for p, v in dist.items() if keep(p)))
-    return pairs(spark, d).select("n", r(best(lambda p: p % 2 == 1) - best(lambda p: p % 2 == 0), 9).alias("llr0"), r(best(lambda p: p >= 2) - best(lambda p: p < 2), 9).alias("llr1"))
+    return pairs(spark, d).select("n", r(best(lambda p: p % 2 == 1) - best(lambda p: p % 2 == 0), 12).alias("llr0"), r(best(lambda p: p >= 2) - best(lambda p: p < 2), 12).alias("llr1"))
 
 
 SIGNS = "v as (select vec_id, list_transform(embedding, lambda x: case when x < 0 then 1 else 0 end) as b from embeddings)"
