@@ -73,7 +73,7 @@ def shingle_set(text: bytes, ids: dict) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
-    if len(ids) > 500_000:
+    if len(ids) > 200_000:
         ids.clear()
     n = max(1, len(h) - WIDTH + 1)
     k = min(WIDTH, len(h))
