@@ -388,19 +388,49 @@ def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, tokens of the sets listed. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
-    spark = docs.sparkSession
-    ids = materialise(ids.distinct(), "shingle-ids")
-    bits = ids.select(F.expr(f"xxhash64(id) & {FILTER_BITS - 1}").alias("at"))
+def filter_of(keys: DataFrame, key: str):
+    """A broadcast filter of fixed size that holds every key, and may hold others."""
+    bits = keys.select(F.expr(f"xxhash64({key}) & {FILTER_BITS - 1}").alias("at"))
     words = bits.groupBy(F.expr("at div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("x")).toPandas()  # FILTER_BITS / 8 rows at most
     filled = np.zeros(FILTER_BITS // 8, np.uint8)
     filled[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    again = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(spark.sparkContext.broadcast(filled)), "id long, n int, tokens binary")
+    return keys.sparkSession.sparkContext.broadcast(filled)
+
+
+def _passing(shared):
+    """Rows whose hash h is in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            at = batch.column("h").to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)
+            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
+            if batch.num_rows:
+                yield batch
+
+    return run
+
+
+def signs_of(signed: DataFrame, inside: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """id, n and one column of what was signed for the ids; other sets are left out before anything is shuffled."""
+    wanted = materialise(inside.select("id", "set_id").join(ids.distinct(), "id"), "shingle-wanted")
+    rows = signed.select("set_id", "n", column, F.xxhash64("set_id").alias("h"))
+    rows = rows.mapInArrow(_passing(filter_of(wanted, "set_id")), rows.schema).drop("h")
+    return rows.join(wanted, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", column)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n, tokens of the sets listed. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
+    ids = materialise(ids.distinct(), "shingle-ids")
+    again = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(filter_of(ids, "id")), "id long, n int, tokens binary")
     # Rows of one doc_id may differ in their text; then all of them were candidates' names and any link counts for the id.
     return again.join(ids, "id", "left_semi")
 
 
+def both_ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """id, comp: the smallest id that can be reached, for each id in links. Smallest labels spread and are looked up in themselves until nothing changes."""
     both = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "links")
@@ -458,10 +488,8 @@ def classes(documents: DataFrame) -> DataFrame:
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("run", "set_id"), F.lit(4 * partitions)).cast("int"))
     runs = posted.repartition(partitions, spread).mapInArrow(_runs, "run long, set_id long, pos int").groupBy("run", "set_id").agg(F.min("pos").alias("pos"))
     runs = materialise(runs.join(reps, "set_id").where(F.col("id").isNotNull()).select("run", "id", "n", "pos", "set_id"), "shingle-runs")
-    inside = runs.groupBy("id", "set_id").agg(F.count("*").alias("lists"))
+    inside = materialise(runs.groupBy("id", "set_id").agg(F.count("*").alias("lists")), "shingle-inside")
     runs = materialise(runs.drop("set_id").join(inside.select("id", "lists").groupBy("id").agg(F.max("lists").alias("lists")), "id"), "shingle-lists")
-    prefixes = materialise(signed.join(inside, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", F.col("prefix").alias("tokens"), "sketch"), "shingle-listed")
-    forget(signed)
 
     links, tried, comp, open_runs = None, None, None, runs
     for turn in range(STAR_ROUNDS + 1):
@@ -484,11 +512,14 @@ def classes(documents: DataFrame) -> DataFrame:
             told = tried.union(tried.select("b", "a"))
             pairs = pairs.join(told, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "shingle-pairs")
-        likely = materialise(tested(materialise(sketched(pairs, prefixes), "shingle-close"), prefixes, may_link), "shingle-likely")
+        sketches = materialise(signs_of(signed, inside, both_ids(pairs), "sketch"), "shingle-sketches")
+        close = materialise(sketched(pairs, sketches), "shingle-close")
+        prefixes = signs_of(signed, inside, both_ids(close), "prefix").withColumnRenamed("prefix", "tokens")
+        likely = materialise(tested(close, prefixes, may_link), "shingle-likely")
         if likely.isEmpty():
             found = likely
         else:
-            found = materialise(tested(likely, full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("id"))), links_exactly), "shingle-links")
+            found = materialise(tested(likely, full_sets(docs, both_ids(likely)), links_exactly), "shingle-links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         comp = components(links)
@@ -500,6 +531,7 @@ def classes(documents: DataFrame) -> DataFrame:
         if open_runs.isEmpty():
             break
 
+    forget(signed)
     named = reps.join(comp, "id", "left").select("n", "set_id", F.coalesce("comp", "id").alias("component_id"))
     some = own.join(named, ["n", "set_id"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
     none = texts.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
