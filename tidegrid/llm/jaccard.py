@@ -37,6 +37,8 @@ WIDTH = 5
 PERCENT = 80
 #: Length of the list of frequent tokens, entries a task adds to it, and the texts of a batch that make a token one.
 FREQUENT, FREQUENT_TASK, FREQUENT_FROM = 200_000, 100_000, 2
+#: Texts that a task holds as Python objects at once.
+SLICE = 256
 #: Bits of a set's parity sketch: sets differ by at least as many tokens as their sketches by bits.
 SKETCH = 1024
 #: A frequent token in so many texts is posted as rows, not in blocks, so that no task holds all its sets.
@@ -112,8 +114,11 @@ def boundary(sizes: dict[int, int], mean_list: float = 2.0) -> int:
     return min(range(MAX_LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
-    return batch.column("text").cast(pa.large_binary()).to_pylist()
+def _texts(batch: pa.RecordBatch) -> Iterator[bytes | None]:
+    """The texts of a batch, few at a time as Python objects."""
+    column = batch.column("text").cast(pa.large_binary())
+    for k in range(0, len(column), SLICE):
+        yield from column.slice(k, SLICE).to_pylist()
 
 
 def _set_id(s: np.ndarray) -> int:
@@ -123,9 +128,12 @@ def _set_id(s: np.ndarray) -> int:
 def _counts_of(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not tokens:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    t, c = np.unique(np.concatenate(tokens), return_counts=True)
-    keep = c >= FREQUENT_FROM
-    return t[keep], c[keep]
+    t = np.concatenate(tokens)
+    tokens.clear()
+    t.sort()
+    t, c = np.unique(t[1:][t[1:] == t[:-1]], return_counts=True)  # most tokens stand alone
+    keep = c + 1 >= FREQUENT_FROM
+    return t[keep], c[keep] + 1
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,6 +159,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, c = _counts_of(sets)
         tokens.append(t)
         counts.append(c)
+    pa.default_memory_pool().release_unused()
     if tokens:
         t, back = np.unique(np.concatenate(tokens), return_inverse=True)
         c = np.bincount(back, np.concatenate(counts), len(t)).astype(np.int64)
