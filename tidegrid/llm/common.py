@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Spark's setting to delete a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Separators of words in the wide sense: ASCII white space.
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -33,9 +35,14 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again: lineage ends here and no later step computes it twice."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    kept = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files go when the table is written, not when the driver collects garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
