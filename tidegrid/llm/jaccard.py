@@ -43,6 +43,8 @@ SLICE = 256
 SKETCH = 1024
 #: A frequent token in so many texts is posted as rows, not in blocks, so that no task holds all its sets.
 HOT = 100_000
+#: Positions from here on are sent as this one: an earlier position rules out fewer pairs, never more.
+FAR = (1 << 16) - 1
 #: Largest boundary that is considered.
 MAX_LIGHT = 12
 #: Pairs of one pivot that are verified in one group.
@@ -229,14 +231,14 @@ def _poster(shared, light: int, buckets: int):
                 mine = np.frombuffer(subsets + prefix if n >= needed(light + 1) else subsets, np.uint64)
                 tokens.append(mine)
                 owner.append(np.full(len(mine), key, np.int64))
-                place.append(np.maximum(np.arange(len(mine), dtype=np.int32) - len(subsets) // 8, 0).astype(np.uint32))
+                place.append(np.clip(np.arange(len(mine)) - len(subsets) // 8, 0, FAR).astype(np.uint16))
             if not tokens:
                 continue
             t, o, at = np.concatenate(tokens), np.concatenate(owner), np.concatenate(place)
             direct = np.isin(t, hot) if len(hot) else np.zeros(len(t), bool)
             if direct.any():
                 k = int(direct.sum())
-                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(t[direct].view(np.int64)), pa.array(o[direct]), pa.array(at[direct].view(np.int32))], ["bucket", "block", "run", "set_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(t[direct].view(np.int64)), pa.array(o[direct]), pa.array(at[direct].astype(np.int32))], ["bucket", "block", "run", "set_id", "pos"])
                 t, o, at = t[~direct], o[~direct], at[~direct]
             b = (t % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(b, kind="stable")
@@ -257,10 +259,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if block is None:
                 out.append((np.array([run]), np.array([owner]), np.array([pos], np.int32)))
                 continue
-            n = len(block) // 16
+            n = len(block) // 14
             keys.append((np.uint64(bucket) << np.uint64(32)) | np.frombuffer(block, np.uint32, n).astype(np.uint64))
-            places.append(np.frombuffer(block, np.uint32, n, 4 * n))
-            owners.append(np.frombuffer(block, np.int64, n, 8 * n))
+            places.append(np.frombuffer(block, np.uint16, n, 4 * n))
+            owners.append(np.frombuffer(block, np.int64, n, 6 * n))
     if keys:
         k, o, at = np.concatenate(keys), np.concatenate(owners), np.concatenate(places)
         del keys, owners, places
@@ -284,7 +286,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pick = np.zeros(len(start), bool)
             pick[first[np.concatenate([[True], name[first][1:] != name[first][:-1]])]] = True
             member = np.repeat(pick & (size > 1), size)
-            out.append((np.repeat(name, size)[member].view(np.int64), o[member], at[member].view(np.int32)))
+            out.append((np.repeat(name, size)[member].view(np.int64), o[member], at[member].astype(np.int32)))
     if out:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["run", "set_id", "pos"])
 
@@ -480,9 +482,10 @@ def classes(documents: DataFrame) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = materialise(docs.mapInArrow(_survey, "doc_id long, n int, set_id long, token long, texts long"), "shingle-survey")
-    texts = survey.where(F.col("token").isNull()).select("doc_id", "n", "set_id")
+    texts = materialise(survey.where(F.col("token").isNull()).select("doc_id", "n", "set_id"), "shingle-texts")
 
     often = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "token").limit(FREQUENT).toPandas()
+    forget(survey)
     token = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
     hot = np.sort(token[often["texts"].to_numpy() >= HOT])
