@@ -98,14 +98,31 @@ def test_light_and_heavy_sets_link(spark):
     assert comp[0] == 0 and comp[1] == 1
 
 
+def test_big_components_compare_in_blocks(spark):
+    """Cells of a few sets find each link between a big component and the rest of its lists; null, empty and doubled rows do no harm."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[: 60 - int(k)]) for k in rng.integers(0, 12, 9)] + ["other words that nobody shares", "", None]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    lists = spark.createDataFrame([(1, i, 0 if i < 5 else i) for i in range(len(texts))], "run long, id long, comp long")
+    big = spark.createDataFrame([(0,)], "comp long")
+    old, jaccard.BLOCK = jaccard.BLOCK, 2
+    try:
+        got = {r["b"] for r in jaccard.compared(docs, lists, big).collect()}
+    finally:
+        jaccard.BLOCK = old
+    sets = [shingles(t) for t in texts]
+    assert got == {b for b in range(5, len(texts)) if any(sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a in range(5))}
+
+
 def test_sketch_and_prefix_never_rule_out_a_link():
     rng = np.random.default_rng(5)
     for n in (3, 10, 60, 700):
         a = np.unique(rng.integers(0, 2**64, n, np.uint64))
         keep = a[: max(1, int(n * 0.9))]
         b = np.unique(np.append(keep, rng.integers(0, 2**64, max(0, n // 20), np.uint64)))
-        if jaccard.links_exactly(a.tobytes(), b.tobytes(), len(a), len(b)):
-            pa_, pb_ = (x[: jaccard.prefix_length(len(x))].tobytes() for x in (a, b))
+        if jaccard.links_exactly(a, b, len(a), len(b)):
+            pa_, pb_ = (x[: jaccard.prefix_length(len(x))] for x in (a, b))
             assert jaccard.may_link(pa_, pb_, len(a), len(b))
             apart = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(jaccard.sketch(a), jaccard.sketch(b)))
             assert 180 * apart <= 20 * (len(a) + len(b))

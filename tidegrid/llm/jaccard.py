@@ -291,22 +291,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["run", "set_id", "pos"])
 
 
-def _sets_of(shared):
-    """The shingle sets of the texts whose doc_id is in the filter."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, ids = shared.value, _Ids()
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            at = h & (FILTER_BITS - 1)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
-            if batch.num_rows:
-                sets = [shingle_set(t or b"", ids) for t in _texts(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "n", "tokens"])
-
-    return cut
-
-
 def overlap(small: np.ndarray, large: np.ndarray) -> int:
     """Common elements of two sorted sets."""
     if len(small) > len(large):
@@ -314,65 +298,88 @@ def overlap(small: np.ndarray, large: np.ndarray) -> int:
     return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
 
 
-def links_exactly(x: bytes, y: bytes, nx: int, ny: int) -> bool:
-    both = overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))
-    return 100 * both >= PERCENT * (nx + ny - both)
+def links_exactly(x: np.ndarray, y: np.ndarray, nx: int, ny: int) -> bool:
+    """Do these whole sets link? Empty ones never do."""
+    if 100 * min(nx, ny) < PERCENT * max(nx, ny):
+        return False
+    both = overlap(x, y)
+    return both > 0 and 100 * both >= PERCENT * (nx + ny - both)
 
 
-def may_link(x: bytes, y: bytes, nx: int, ny: int) -> bool:
+def may_link(a: np.ndarray, b: np.ndarray, nx: int, ny: int) -> bool:
     """Can sets with these prefixes link? What stands in one prefix only, up to the end of the one that ends first, is in one set only."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
     common, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     i, j = (int(i.max()) + 1, int(j.max()) + 1) if len(common) else (0, 0)
     apart = i + j - 2 * len(common) + min(len(a) - i, len(b) - j)
     return (100 + PERCENT) * apart <= (100 - PERCENT) * (nx + ny)
 
 
-def _tester(test):
+def _as_prefix():
+    return lambda held, n: (np.frombuffer(held, np.uint64), n)
+
+
+def _as_text():
+    """Cuts a text into its whole set. Texts are sent rather than sets since words compress and hashes do not."""
+    ids = _Ids()
+
+    def cut(held: bytes, _) -> tuple[np.ndarray, int]:
+        s = shingle_set(held, ids)
+        return s, len(s)
+
+    return cut
+
+
+def _tester(test, reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by pivot and group, the pivot's own first."""
-        pivots, key = [], None  # more than one only if texts share a doc_id
+        pivots, key, read = [], None, reader()  # more than one only if texts share a doc_id
         for batch in batches:
             a, b = [], []
-            for row_a, salt, other, row_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "other", "id", "n", "tokens"))):
-                if not other:
-                    pivots = [*pivots, (tokens, n)] if key == (row_a, salt) else [(tokens, n)]
-                    key = (row_a, salt)
-                    continue
-                assert key == (row_a, salt), "a pivot is missing"
-                if any(test(p, tokens, size, n) for p, size in pivots):
-                    a.append(row_a)
-                    b.append(row_id)
+            for k in range(0, batch.num_rows, SLICE):
+                part = batch.slice(k, SLICE)
+                for row_a, salt, other, row_id, n, held in zip(*(part.column(c).to_pylist() for c in ("a", "salt", "other", "id", "n", "held"))):
+                    tokens, size = read(held, n)
+                    if not other:
+                        pivots = [*pivots, (tokens, size)] if key == (row_a, salt) else [(tokens, size)]
+                        key = (row_a, salt)
+                        continue
+                    assert key == (row_a, salt), "a pivot is missing"
+                    if any(test(p, tokens, of_p, size) for p, of_p in pivots):
+                        a.append(row_a)
+                        b.append(row_id)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
-def tested(pairs: DataFrame, sets: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) that pass a test of both rows (id, n, tokens). A pivot's pairs are split into groups of about GROUP."""
+def tested(pairs: DataFrame, sets: DataFrame, test, reader) -> DataFrame:
+    """The pairs (a, b) that pass a test of both rows (id, n, held), held as the reader reads it. A pivot's pairs are split into groups of about GROUP."""
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
     ask = salted.select("a", "salt", F.col("b").alias("id"), F.lit(True).alias("other")).unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(False).alias("other")))
-    rows = ask.join(sets.select("id", "n", "tokens"), "id").select("a", "salt", "other", "id", "n", "tokens")
-    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test), "a long, b long")
+    rows = ask.join(sets.select("id", "n", "held"), "id").select("a", "salt", "other", "id", "n", "held")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test, reader), "a long, b long")
 
 
 def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by cell, a component's members before the others; a link to one member is enough."""
-    members, cell = [], None
+    members, cell, read = [], None, _as_text()
     for batch in batches:
         a, b = [], []
-        for *here, other, row_id, n, tokens in zip(*(batch.column(c).to_pylist() for c in ("comp", "row", "col", "other", "id", "n", "tokens"))):
-            if here != cell:
-                members, cell = [], here
-            if not other:
-                members.append((row_id, n, tokens))
-                continue
-            for m, size, own in members:
-                if 100 * min(n, size) >= PERCENT * max(n, size) and links_exactly(own, tokens, size, n):
-                    a.append(m)
-                    b.append(row_id)
-                    break
+        for k in range(0, batch.num_rows, SLICE):
+            part = batch.slice(k, SLICE)
+            for *here, other, row_id, held in zip(*(part.column(c).to_pylist() for c in ("comp", "row", "col", "other", "id", "held"))):
+                tokens, n = read(held, None)
+                if here != cell:
+                    members, cell = [], here
+                if not other:
+                    members.append((row_id, n, tokens))
+                    continue
+                for m, size, own in members:
+                    if links_exactly(own, tokens, size, n):
+                        a.append(m)
+                        b.append(row_id)
+                        break
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -387,7 +394,7 @@ def compared(docs: DataFrame, lists: DataFrame, big: DataFrame) -> DataFrame:
     left = members.join(shape, "comp").select("comp", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(False).alias("other"), "id")
     right = other.join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), col.alias("col"), F.lit(True).alias("other"), "id")
     ask = materialise(left.unionByName(right), "shingle-grid")
-    rows = ask.join(full_sets(docs, ask.select("id")), "id").select("comp", "row", "col", "other", "id", "n", "tokens")
+    rows = ask.join(full_texts(docs, ask.select("id")), "id").select("comp", "row", "col", "other", "id", "held")
     return rows.repartition("comp", "row", "col").sortWithinPartitions("comp", "row", "col", "other").mapInArrow(_grid, "a long, b long")
 
 
@@ -430,10 +437,11 @@ def signs_of(signed: DataFrame, inside: DataFrame, ids: DataFrame, column: str)
     return rows.join(wanted, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", column)
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, n, tokens of the sets listed. A filter of fixed size lets the texts through that are cut again, the join drops what it lets through in error."""
+def full_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, n (null), held: the texts listed. A filter of fixed size lets texts through before the shuffle, the join drops what it lets through in error."""
     ids = materialise(ids.distinct(), "shingle-ids")
-    again = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_sets_of(filter_of(ids, "id")), "id long, n int, tokens binary")
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("n"), F.col("text").cast("binary").alias("held"), F.xxhash64("doc_id").alias("h"))
+    again = rows.mapInArrow(_passing(filter_of(ids, "id")), rows.schema).drop("h")
     # Rows of one doc_id may differ in their text; then all of them were candidates' names and any link counts for the id.
     return again.join(ids, "id", "left_semi")
 
@@ -526,12 +534,12 @@ def classes(documents: DataFrame) -> DataFrame:
         pairs = materialise(pairs, "shingle-pairs")
         sketches = materialise(signs_of(signed, inside, both_ids(pairs), "sketch"), "shingle-sketches")
         close = materialise(sketched(pairs, sketches), "shingle-close")
-        prefixes = signs_of(signed, inside, both_ids(close), "prefix").withColumnRenamed("prefix", "tokens")
-        likely = materialise(tested(close, prefixes, may_link), "shingle-likely")
+        prefixes = signs_of(signed, inside, both_ids(close), "prefix").withColumnRenamed("prefix", "held")
+        likely = materialise(tested(close, prefixes, may_link, _as_prefix), "shingle-likely")
         if likely.isEmpty():
             found = likely
         else:
-            found = materialise(tested(likely, full_sets(docs, both_ids(likely)), links_exactly), "shingle-links")
+            found = materialise(tested(likely, full_texts(docs, both_ids(likely)), links_exactly, _as_text), "shingle-links")
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         comp = components(links)
