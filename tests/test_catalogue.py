@@ -43,3 +43,12 @@ def test_crc_check_values(spark, case):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(bits.crc(F.encode(F.lit("123456789"), "UTF-8"), *spec).alias("c")).first()["c"] == want
+
+
+def test_crc_covers_whole_texts(spark, tmp_path):
+    import binascii
+
+    texts = ["", "one two", "sixteen letters.", "sixteen letters. and one end", "sixteen letters. and another", "Ünï côdé \U0001f600 " * 9, "x" * 3000]
+    spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r["turn"]: r["crc"] for r in catalogue.crc_ccitt_false(spark, str(tmp_path)).collect()}
+    assert got == {i: binascii.crc_hqx(t.encode(), 0xFFFF) for i, t in enumerate(texts)} and got[3] != got[4]

@@ -320,7 +320,7 @@ select conv_id, turn, cast(crc as bigint) as crc from c where k = 8 * octet_leng
 """)
 def crc_ccitt_false(spark, d):
     c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", bits.crc(F.encode(F.left("text", F.lit(16)), "UTF-8"), 16, 0x1021, 0xFFFF, False, False, 0).alias("crc"))
+    return c.select("conv_id", "turn", bits.crc(F.encode("text", "UTF-8"), 16, 0x1021, 0xFFFF, False, False, 0).alias("crc"))
 
 
 @query(f"with {SIGNS}, s as (select vec_id, array_to_string(b, '') as t from v) select vec_id, case when contains(t, '111111') then null else replace(t, '111110', '11111') end as bits from s")
