@@ -11,7 +11,7 @@ SHARDS = 40
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted go."""
+    """Documents that fail the base rules or are depleted go; the others lose the lines above their host's limit."""
     return quality.cleaned(docs)
 
 

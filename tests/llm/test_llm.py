@@ -59,6 +59,17 @@ def test_edges_give_a_row_per_row(spark, docs, none):
     assert decontamination.remove_documents(docs, bench).where("doc_id in (3, 6)").count() == 0
 
 
+def test_lines_above_the_limit_leave_the_texts(spark):
+    own = [" ".join("é" + chr(97 + i // 26) + chr(97 + i % 26) + chr(97 + j // 26) + chr(97 + j % 26) for j in range(60)) for i in range(30)]
+    rows = [(i, f"{own[i]}\n\n Subscribe NOW  {i} times \nend {own[i][:5]}", "a", 0) for i in range(25)]
+    rows += [(100 + i, f"{own[25 + i]}\nsubscribe now 3 times", "b", 0) for i in range(5)] + [rows[7], (200, rows[9][1], "a", 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    got = [tuple(r) for r in quality.cleaned(frame).collect()]
+    left = lambda t: "\n".join(x for x in t.split("\n") if not x.startswith(" Subscribe"))
+    want = [(i, t if s == "b" or i == 0 else left(t), s, 0 if s == "b" or i == 0 else len(left(t))) for i, t, s, _ in rows]
+    assert sorted(got) == sorted(want) and all("\n\n" in t for i, t, s, _ in got if s == "a")
+
+
 def shingles(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()

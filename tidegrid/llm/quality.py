@@ -4,7 +4,8 @@ Lines are normalised and hashed; for each host the engine counts in how many
 distinct texts a line stands (copies of one text count once). A line above the
 host's limit is removed from all texts of the host but the one where it first
 occurs (that of the smallest doc_id). A document that loses more than a given
-share of its words is depleted and rejected.
+share of its words is depleted and rejected; the others go on without their
+removed lines.
 """
 
 from __future__ import annotations
@@ -56,6 +57,10 @@ def _signed(h: int) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+def line_key(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(DIGITS.sub(b"0", b" ".join(words).lower())))
+
+
 def line_facts(text: bytes) -> tuple[int, list[int], list[int]]:
     """Duplicate lines; hash and words of each distinct normalised line."""
     seen, dup, lines = set(), 0, {}
@@ -66,7 +71,7 @@ def line_facts(text: bytes) -> tuple[int, list[int], list[int]]:
         if line in seen:
             dup += 1
         seen.add(line)
-        key = _signed(xxhash.xxh3_64_intdigest(DIGITS.sub(b"0", b" ".join(words).lower())))
+        key = line_key(words)
         lines[key] = lines.get(key, 0) + len(words)
     return dup, list(lines), list(lines.values())
 
@@ -109,7 +114,7 @@ def base_failed() -> Column:
 
 
 def judge(facts: DataFrame, min_texts: int = 20, host_share: float = 0.005, max_lost: float = 0.5) -> DataFrame:
-    """The facts with removed_words, base_failed, depleted and kept.
+    """The facts with removed_words, removed_lines (their hashes, or null), base_failed, depleted and kept.
 
     A line is above its host's limit if it stands in more than
     max(min_texts, host_share * texts of the host) distinct texts; a document
@@ -126,17 +131,44 @@ def judge(facts: DataFrame, min_texts: int = 20, host_share: float = 0.005, max_
     sizes = facts.groupBy("host", "text_md5").count().groupBy("host").agg(F.count("*").alias("host_texts"))
     counts = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_md5"))["text_md5"].alias("first_md5")).where(F.col("n") > min_texts)
     over = counts.join(sizes, "host").where(F.col("n") > F.greatest(F.lit(float(min_texts)), host_share * F.col("host_texts"))).select("host", "line", "first_md5")
-    removed = texts.join(over, ["host", "line"]).where(F.col("text_md5") != F.col("first_md5")).groupBy("host", "text_md5").agg(F.sum("words").alias("removed_words"))
+    removed = texts.join(over, ["host", "line"]).where(F.col("text_md5") != F.col("first_md5")).groupBy("host", "text_md5").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     out = facts.drop("line_hashes", "line_words").join(removed, ["host", "text_md5"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     out = out.withColumn("base_failed", base_failed()).withColumn("depleted", F.col("removed_words") > max_lost * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
 
 
+def without_lines(text: bytes, gone: set[int]) -> bytes:
+    """The text without the lines whose hashes are given; lines without words stay."""
+    return b"\n".join(line for line in text.split(b"\n") if not (words := line.split()) or line_key(words) not in gone)
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        gone, batch = batch.column("__lines"), batch.drop_columns(["__lines"])
+        if gone.null_count < len(gone):
+            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+            chars = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else []
+            for i, lines in enumerate(gone.to_pylist()):
+                if lines:
+                    texts[i] = without_lines(texts[i], set(lines))
+                    if chars:
+                        chars[i] = len(texts[i].decode("utf-8", "replace"))
+            new = {"text": pa.array(texts, pa.large_binary()).view(pa.large_string())} | ({"n_chars": pa.array(chars, pa.int64())} if chars else {})
+            batch = pa.RecordBatch.from_arrays([new[f.name].cast(f.type) if f.name in new else batch.column(f.name) for f in batch.schema], schema=batch.schema)
+        yield batch
+
+
 def cleaned(documents: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that the rules keep, unchanged and with all their columns."""
+    """The documents that the rules keep, with all their columns, each text without its removed lines.
+
+    The rules judge the text as it came, so what is left may have fewer than 50
+    words. n_chars, if there, is that of the text returned.
+    """
     from .common import materialise
 
     known = materialise(facts(documents, host), "line-facts")
-    bad = judge(known, **limits).where(~F.col("kept")).select(F.col("host").alias("__host"), F.col("text_md5").alias("__md5")).distinct()
+    judged = judge(known, **limits).where(~F.col("kept") | F.col("removed_lines").isNotNull())
+    found = judged.groupBy(F.col("host").alias("__host"), F.col("text_md5").alias("__md5")).agg(F.first("kept").alias("__kept"), F.first("removed_lines").alias("__lines"))
     keyed = documents.withColumn("__host", host_key(host)).withColumn("__md5", text_md5())
-    return keyed.join(bad, ["__host", "__md5"], "left_anti").select(*documents.columns)
+    kept = keyed.join(found, ["__host", "__md5"], "left").where(F.coalesce("__kept", F.lit(True)))
+    return kept.select(*documents.columns, "__lines").mapInArrow(_cut, documents.schema)
