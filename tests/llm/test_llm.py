@@ -148,6 +148,15 @@ def test_sharding(spark, real):
     assert len(size) == 8 and size.max() < 1.1 * size.min()
 
 
+def test_sharding_keeps_copies_together(spark):
+    texts = [f"copied text {i // 20}" if i < 200 else "hot text" if i < 800 else f"single text {i}" for i in range(2000)]
+    out = sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8).toPandas()
+    places = out.assign(text=[texts[i] for i in out["doc_id"]]).groupby("text")["shard"].nunique()
+    assert (places.drop("hot text") == 1).all() and places["hot text"] > 1
+    size = out.groupby("shard")["size"].sum()
+    assert len(size) == 8 and size.max() < 1.1 * size.min()
+
+
 def test_mix_comes_near_targets_and_reruns_agree(spark, real):
     a = mixing.mix(real).toPandas().sort_values("doc_id", ignore_index=True)
     assert a.equals(mixing.mix(real).toPandas().sort_values("doc_id", ignore_index=True))

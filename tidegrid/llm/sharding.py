@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows with equal text form a group. Small groups are gathered by hash into a
-fixed number of bundles; a group above a fixed share of a shard's capacity is
-an item of its own, and one that would not fit evenly is split by doc_id. So the
-packer sees a number of items that depends on the number of shards, not on the
-data. Items are placed in falling size, each into the shard where the dot
-product of its demand with the residual capacity is highest.
+fixed number of bundles; a group above a small share of a shard's capacity is
+an item of its own and stays whole, and only one above a large share of it, which
+would not fit evenly, is split by doc_id. So the packer sees a number of items that
+depends on the number of shards, not on the data. Items are placed in falling size,
+each into the shard where the dot product of its demand with the residual capacity
+is highest.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, word_count
 
-#: Bundles a shard, and the share of a shard from which a group is an item of its own.
-BUNDLES, LARGE = 256, 1 / 256
+#: Bundles a shard, and the shares of a shard from which a group is an item of its own and from which it is split.
+BUNDLES, LARGE, HOT = 256, 1 / 256, 1 / 2
 
 
 def pack(demand: np.ndarray, shards: int) -> np.ndarray:
@@ -40,9 +41,11 @@ def shard(documents: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot: one row per input row.
 
     Size is the UTF-8 bytes of the text plus 16; null texts count as empty ones,
-    and all empty texts are one group. Rows with equal doc_id and text stay
-    together. Slots are numbered from 0 within each shard without gaps, ties in
-    any order. An empty table gives an empty result. Other columns are not read.
+    and all empty texts are one group. Rows with equal text stay together, but
+    for groups above HOT of a shard in bytes, tokens or rows; those are split by
+    doc_id into pieces of about LARGE, which balance. Rows with equal doc_id and text stay
+    together always. Slots are numbered from 0 within each shard without gaps, ties
+    in any order. An empty table gives an empty result. Other columns are not read.
     """
     spark = documents.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -53,7 +56,7 @@ def shard(documents: DataFrame, shards: int = 40) -> DataFrame:
     limit = [(x or 0) * LARGE / shards for x in total]
     share = F.greatest(*(F.col(c) / F.lit(max(m, 1e-9)) for c, m in zip(("size", "tokens", "rows"), limit)))
     # No more than 3 * shards / LARGE groups can be above the limit in some dimension.
-    large = d.groupBy("group").agg(*sums).where(share > 1).select("group", F.ceil(share).cast("int").alias("pieces"))
+    large = d.groupBy("group").agg(*sums).where(share > 1).select("group", F.when(share > HOT / LARGE, F.ceil(share)).otherwise(1).cast("int").alias("pieces"))
     large = materialise(large, "shard-large")
     d = d.join(F.broadcast(large), "group", "left")
     piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
