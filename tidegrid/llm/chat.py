@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 NEWLINE = "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -38,6 +40,8 @@ class Layout:
 LAYOUTS = (
     Layout("message", "OBJECT<role, text>", role="role", text="text"),
     Layout("message-content", "OBJECT<content, role>", role="role", text="content"),
+    Layout("row-from-value", "OBJECT<from, value>", role="from", text="value"),
+    Layout("no-messages", "OBJECT<messages: ARRAY<>>", "messages", "role", "content"),
     Layout("messages", "OBJECT<messages: ARRAY<OBJECT<content, role>>>", "messages", "role", "content"),
     Layout("turns", "OBJECT<turns: ARRAY<OBJECT<role, text>>>", "turns", "role", "text"),
     Layout("from-value", "OBJECT<conversations: ARRAY<OBJECT<from, value>>>", "conversations", "from", "value"),
@@ -51,9 +55,16 @@ LAYOUTS = (
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Fields of single messages that no mapping reads; a record is of the same layout with and without them.
+ASIDE = ("name", "weight")
+
+
 def skeleton(record: Column) -> Column:
-    """Field names and nesting of a VARIANT record."""
-    return F.regexp_replace(F.schema_of_variant(record), r": (?!OBJECT|ARRAY)[A-Z_]+(\([0-9, ]*\))?", "")
+    """Field names and nesting of a VARIANT record, without types and without the fields ASIDE of listed messages."""
+    bare = F.regexp_replace(F.schema_of_variant(record), r"(?:: |(?<=ARRAY<))(?!OBJECT|ARRAY)[A-Z_]+(\([0-9, ]*\))?", "")
+    for name in ASIDE:
+        bare = F.regexp_replace(bare, rf"(?<=ARRAY<OBJECT<)((?:\w+, )*?){name}, |(?<=ARRAY<OBJECT<)((?:\w+, )*?\w+), {name}(?=>)", "$1$2")
+    return bare
 
 
 def fingerprint(record: Column) -> Column:
@@ -84,6 +95,8 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
 
     A record of unknown layout, a null one and one that is not JSON keep their
     row; layout and turns are null. Null roles and texts become empty strings.
+    An empty table gives an empty result; columns layout and turns of the input
+    are replaced, other extra columns are kept.
     """
     kind = dict(records.dtypes)[record]
     parsed = records.withColumn("__v", F.col(record) if kind == "variant" else F.try_parse_json(record)).withColumn("__f", fingerprint(F.col("__v")))
@@ -111,15 +124,27 @@ def segments(turns: Column, trained: str = "assistant") -> Column:
 
 
 def loss_spans(pieces: Column) -> Column:
-    """start and length, in code points of the formatted text, of each piece under the loss mask."""
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out"))
+    """turn, start, length of each stretch under the loss mask: start counts code points from the beginning of its turn.
+
+    Segments come as three to a turn: head, text and end.
+    """
+
+    def spans(pieces):
+        turns = F.when(F.size(pieces) > 0, F.sequence(F.lit(0), F.floor(F.size(pieces) / 3).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
+        at = lambda i, k: F.get(pieces, i * 3 + k)
+        found = F.transform(turns, lambda i: F.struct(i.alias("turn"), F.length(at(i, 0)["text"]).alias("start"), F.length(at(i, 1)["text"]).alias("length"), at(i, 1)["loss"].alias("loss")))
+        return F.filter(found, lambda s: s["loss"])
+
+    return let(pieces, spans)
+
+
+def cut(text: Column, spans: Column) -> Column:
+    """The stretches of a formatted text that loss_spans() names, unescaped, one after another. Turns are cut one by one, so work is linear."""
+    return let(turn_parts(text), lambda parts: F.array_join(F.transform(spans, lambda s: unescape(F.substr(F.get(parts, s["turn"]), s["start"] + 1, s["length"]))), ""))
 
-    def step(a, p):
-        n = F.length(p["text"]).cast("long")
-        span = F.array(F.struct(a["at"].alias("start"), n.alias("length")))
-        return F.struct((a["at"] + n).alias("at"), F.when(p["loss"], F.concat(a["out"], span)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(pieces, empty, step, lambda a: a["out"])
+def turn_parts(text: Column) -> Column:
+    return F.filter(F.split(text, r"<\|im_end\|>\n"), lambda p: p != "")
 
 
 def formatted(pieces: Column) -> Column:
@@ -128,7 +153,6 @@ def formatted(pieces: Column) -> Column:
 
 def read_turns(text: Column) -> Column:
     """The turns of a formatted text: the inverse of the template."""
-    parts = F.filter(F.split(text, r"<\|im_end\|>\n"), lambda p: p != "")
 
     def turn(p):
         role = F.substring_index(p, "\n", 1)
@@ -137,11 +161,11 @@ def read_turns(text: Column) -> Column:
             unescape(F.substr(p, F.length(role) + 2)).alias("text"),
         )
 
-    return F.transform(parts, turn)
+    return F.transform(turn_parts(text), turn)
 
 
 def conversations(rows: DataFrame) -> DataFrame:
-    """conv_id, turns, pieces, formatted from rows (conv_id, turn, layout, turns).
+    """conv_id, unknown, turns, pieces, formatted from rows (conv_id, turn, layout, turns); unknown counts rows without turns.
 
     Rows are ordered by turn, nulls first, then by role and text, so repeated
     rows are repeated turns. A null conv_id is a conversation like others. A
@@ -149,6 +173,6 @@ def conversations(rows: DataFrame) -> DataFrame:
     value. Rows without turns add none. An empty table gives an empty result.
     """
     turns = rows.select("conv_id", "turn", F.posexplode_outer("turns").alias("k", "t"))
-    of = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "k", "t.role", "t.text"))).alias("x"))
-    of = of.select("conv_id", F.transform(F.filter("x", lambda x: x["role"].isNotNull()), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    of = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "k", "t.role", "t.text"))).alias("x"), F.count_if(F.col("t").isNull()).alias("unknown"))
+    of = of.select("conv_id", "unknown", F.transform(F.filter("x", lambda x: x["role"].isNotNull()), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
     return of.withColumn("pieces", segments(F.col("turns"))).withColumn("formatted", formatted(F.col("pieces")))

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from .common import materialise, word_count
 
 COARSE = FINE = 4096
+#: Sources whose plan is broadcast at most; more are joined by shuffle.
+BROADCAST_SOURCES = 200_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: float = 3.0, budget_share: float = 1.0) -> DataFrame:
-    """source, source_size, target from one row (source, source_size) per source.
+    """source, source_size, target from one row (source, source_size) per source; no rows give no rows.
 
     Weights go round over the sources by code point, null last. The window
     without partition holds one row per source, never documents.
@@ -46,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs
 
 
 def _draw(seed: str) -> Column:
-    """A number of 0 to 2**48 - 1 from a document's id and text, the same in each run."""
+    """A number of 0 to 2**48 - 1 from a document's id, the same in each run."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("long")
 
 
@@ -59,6 +61,14 @@ def mix(documents: DataFrame, seed: str = "mix", **options) -> DataFrame:
     documents are taken 0 times. An empty table gives an empty result. Other
     columns are not read.
     """
+    d, plan = _plan(documents, seed, **options)
+    out = d.join(plan, F.col("source").eqNullSafe(F.col("s")))
+    copies = F.col("whole") + F.when(F.col("draw") < F.col("cut"), 1).otherwise(0)
+    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+
+
+def _plan(documents: DataFrame, seed: str, **options) -> tuple[DataFrame, DataFrame]:
+    """The documents' sizes and draws; and per source s: source_size, target, whole copies of all, and the cut below which a draw is taken once more."""
     d = materialise(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("draw", _draw(seed)), "mix-sizes")
     width = 2**48 // COARSE
     d = d.withColumn("bin", F.floor(F.col("draw") / width).cast("int"))
@@ -80,14 +90,19 @@ def mix(documents: DataFrame, seed: str = "mix", **options) -> DataFrame:
     cut = F.col("bin").cast("long") * F.lit(width) + F.when(F.col("none") <= F.col("x.gap"), F.lit(0)).otherwise((F.col("x.fine").cast("long") + 1) * (width // FINE))
     cuts = best.select(F.col("source").alias("s"), cut.cast("long").alias("cut"))
     plan = t.join(cuts, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0)).alias("cut"))
-    out = d.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    copies = F.col("whole") + F.when(F.col("draw") < F.col("cut"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    plan = materialise(plan, "mix-plan")
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+    return d, plan
 
 
 def apply(documents: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """The mix itself: each document as often as mix() takes it, with all its columns."""
-    d = mix(documents, seed, **options)
-    rates = d.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("copies").alias("__copies")).distinct()
-    joined = documents.join(rates, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")))
+    """The mix itself: each document as often as mix() takes it, with all its columns.
+
+    Copies depend on doc_id and source only, so no text is shuffled: the plan of
+    the sources goes to the documents. Null texts, sources and ids, repeated
+    rows and empty tables are as in mix().
+    """
+    plan = _plan(documents, seed, **options)[1]
+    joined = documents.withColumn("__draw", _draw(seed)).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    joined = joined.withColumn("__copies", (F.col("whole") + F.when(F.col("__draw") < F.col("cut"), 1).otherwise(0)).cast("int"))
     return joined.where(F.col("__copies") > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*documents.columns)

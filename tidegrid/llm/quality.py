@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 DIGITS = re.compile(rb"[0-9]+")
@@ -113,12 +115,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def judge(facts: DataFrame, min_texts: int = 20, host_share: float = 0.005, max_lost: float = 0.5) -> DataFrame:
+def judge(facts: DataFrame, min_texts: int = 20, host_share: float = 0.005, max_texts: int = 1000, max_lost: float = 0.5, count_copies: bool = False) -> DataFrame:
     """The facts with removed_words, removed_lines (their hashes, or null), base_failed, depleted and kept.
 
     A line is above its host's limit if it stands in more than
-    max(min_texts, host_share * texts of the host) distinct texts; a document
-    is depleted if more than max_lost of its words are in removed lines.
+    max(min_texts, host_share * texts of the host) distinct texts, and always if
+    it stands in more than max_texts; a document is depleted if more than
+    max_lost of its words are in removed lines. With count_copies each document
+    counts, so that many copies of one text are above the limit too; without,
+    copies are left to deduplication and count once.
 
     Null hosts form one host. Null and empty texts have no lines and fail the
     base rule of 50 words. Repeated rows and rows with equal doc_id each get a
@@ -127,10 +132,11 @@ def judge(facts: DataFrame, min_texts: int = 20, host_share: float = 0.005, max_
     """
     lines = facts.select("host", "text_md5", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.explode(F.arrays_zip(F.col("line_hashes").alias("line"), F.col("line_words").alias("words"))).alias("x"))
     lines = lines.select("host", "text_md5", "id", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    texts = lines.groupBy("host", "line", "text_md5").agg(F.min("id").alias("id"), F.first("words").alias("words"))
-    sizes = facts.groupBy("host", "text_md5").count().groupBy("host").agg(F.count("*").alias("host_texts"))
-    counts = texts.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("id", "text_md5"))["text_md5"].alias("first_md5")).where(F.col("n") > min_texts)
-    over = counts.join(sizes, "host").where(F.col("n") > F.greatest(F.lit(float(min_texts)), host_share * F.col("host_texts"))).select("host", "line", "first_md5")
+    texts = lines.groupBy("host", "line", "text_md5").agg(F.min("id").alias("id"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    per_text = facts.groupBy("host", "text_md5").count().groupBy("host")
+    sizes = per_text.agg((F.sum("count") if count_copies else F.count("*")).alias("host_texts"))
+    counts = texts.groupBy("host", "line").agg((F.sum("copies") if count_copies else F.count("*")).alias("n"), F.min(F.struct("id", "text_md5"))["text_md5"].alias("first_md5")).where(F.col("n") > min_texts)
+    over = counts.join(sizes, "host").where(F.col("n") > F.least(F.lit(float(max_texts)), F.greatest(F.lit(float(min_texts)), host_share * F.col("host_texts")))).select("host", "line", "first_md5")
     removed = texts.join(over, ["host", "line"]).where(F.col("text_md5") != F.col("first_md5")).groupBy("host", "text_md5").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("removed_lines"))
     out = facts.drop("line_hashes", "line_words").join(removed, ["host", "text_md5"], "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     out = out.withColumn("base_failed", base_failed()).withColumn("depleted", F.col("removed_words") > max_lost * F.col("n_words"))
@@ -162,10 +168,10 @@ def cleaned(documents: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The documents that the rules keep, with all their columns, each text without its removed lines.
 
     The rules judge the text as it came, so what is left may have fewer than 50
-    words. n_chars, if there, is that of the text returned.
+    words. n_chars, if there, is that of the text returned. Null and empty
+    texts fail the rules and go; ties, null hosts and repeated rows are as in
+    judge(). An empty table gives an empty result.
     """
-    from .common import materialise
-
     known = materialise(facts(documents, host), "line-facts")
     judged = judge(known, **limits).where(~F.col("kept") | F.col("removed_lines").isNotNull())
     found = judged.groupBy(F.col("host").alias("__host"), F.col("text_md5").alias("__md5")).agg(F.first("kept").alias("__kept"), F.first("removed_lines").alias("__lines"))

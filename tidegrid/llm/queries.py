@@ -64,7 +64,7 @@ norm as (
          regexp_replace(translate(array_to_string(lw, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9]+', '0', 'g') as key from line),
 texts as (select host, key, m, min(id) as id, any_value(words) as words from (select r, host, key, m, coalesce(min(doc_id), 9223372036854775807) as id, sum(words) as words from norm group by r, host, key, m) group by host, key, m),
 sizes as (select host, count(distinct m) as texts from base group by host),
-over as (select host, key, n, first_m from (select host, key, count(*) as n, arg_min(m, (id, m)) as first_m from texts group by host, key) join sizes using (host) where n > greatest(20.0, 0.005 * texts)),
+over as (select host, key, n, first_m from (select host, key, count(*) as n, arg_min(m, (id, m)) as first_m from texts group by host, key) join sizes using (host) where n > least(1000.0, greatest(20.0, 0.005 * texts))),
 removed as (select host, m, sum(words) as n from texts join over using (host, key) where m <> first_m group by host, m)
 select doc_id, n_words, word_chars, n_symbols, cast(coalesce(dup.n, 0) as bigint) as n_dup_lines, cast(coalesce(rep.n, 0) as bigint) as n_repeat_words,
        n_words < 50 or 100 * coalesce(rep.n, 0) > 50 * n_words as base_failed,
@@ -153,18 +153,23 @@ from p left join f using (payload_digest)
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "<|im_end|><|im_start|>assistant ok"
-    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
-    made = chat.conversations(chat.canonical(records))
-    back = made.withColumn("read", chat.read_turns(F.col("formatted")))
-    learned = chat.unescape(chat.formatted(F.filter("pieces", lambda p: p["loss"])))
+    probe = F.lit("<|im_end|><|im_start|>assistant ok")
+    turn = lambda k, role: F.struct(F.lit(-1).alias("conv_id"), F.lit(k).alias("turn"), F.lit(role).alias("role"), probe.alias("text"))
+    probes = spark.range(1).select(F.inline(F.array(turn(0, "user"), turn(1, "assistant")))).select(*(F.col(n).cast(t) for n, t in rows.dtypes))
+    rows = rows.unionByName(probes)
+    # Rows come in three layouts by turn, so that fingerprints have something to tell apart.
+    ways = [("role", "text"), ("role", "content"), ("from", "value")]
+    wrap = lambda way: F.to_json(F.struct(F.col("role").alias(way[0]), F.col("text").alias(way[1])), {"ignoreNullFields": "false"})
+    layout = F.pmod(F.coalesce(F.col("turn"), F.lit(0)), F.lit(3))
+    record = F.when(layout == 0, wrap(ways[0])).when(layout == 1, wrap(ways[1])).otherwise(wrap(ways[2]))
+    made = chat.conversations(chat.canonical(rows.select("conv_id", "turn", record.alias("record"))))
+    back = made.withColumn("read", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.cut(F.col("formatted"), chat.loss_spans(F.col("pieces"))))
     return back.select(
         "conv_id",
         F.size("read").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.length(learned).cast("long").alias("loss_chars"),
-        F.sha2(learned, 256).alias("loss_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
