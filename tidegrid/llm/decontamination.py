@@ -1,22 +1,28 @@
 """Benchmark decontamination with DataFrame functions only.
 
-The benchmark's word windows are a small hash set that every task holds. A
+The benchmark's word windows are a small hash set that is broadcast. A
 training text is first tested by its aligned half windows: any L consecutive
 words contain a block of (L + 1) // 2 words that starts at a multiple of that
-length, so one hash per block decides, without false negatives, whether a text
-can hold a window at all. Only texts that may are cut into all their windows,
-which are verified by an equality join on the words themselves.
+length, so one hash per block, looked up in the set of the windows' blocks,
+decides without false negatives whether a text can hold a window at all. Only
+texts that may, each distinct one once, are cut into all their windows, which
+are verified by an equality join on the words themselves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, materialise
 
+#: A word of a text that is not lower-cased yet.
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+SPANS = "array<struct<start:int,len:int>>"
 SEPARATORS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Half windows that are sent to all tasks as a hash set; a larger benchmark is joined by shuffle instead.
+#: Rows of a table that is broadcast at most; a larger one is joined by shuffle instead, with the same result.
 SET_LIMIT = 200_000
 
 
@@ -44,13 +50,10 @@ def half_hashes(words: Column, count: int, half: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(count)), lambda i: F.xxhash64(F.slice(words, i, half)))
 
 
-def any_block(words: Column, half: int, hashes: list[int]) -> Column:
-    """Is one of the aligned blocks in the hash set?"""
-    return F.exists(F.sequence(F.lit(0), F.size(words) - half, F.lit(half)), lambda i: F.xxhash64(F.slice(words, i + 1, half)).isin(hashes))
-
-
-def windows_for(length: int):
-    return lambda words: windows_of(words, length)
+def aligned_blocks(words: Column, half: int) -> Column:
+    """half and hash of each block of so many words that starts at a multiple of half."""
+    starts = F.when(F.size(words) >= half, F.sequence(F.lit(0), F.size(words) - half, F.lit(half))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(half).alias("half"), F.xxhash64(F.slice(words, i + 1, half)).alias("h")))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, set_limit: int = SET_LIMIT) -> DataFrame:
@@ -63,39 +66,36 @@ def scan(documents: DataFrame, benchmark: DataFrame, width: int = 10, set_limit:
     """
     grams = materialise(benchmark_windows(benchmark, width), "benchmark-windows")
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most width values
-    blocks = {}
-    for length in lengths:
-        half = (length + 1) // 2
-        cut = grams.where(F.col("len") == length).select(F.explode(half_hashes(F.split("gram", " "), length - half + 1, half)).alias("h")).distinct()
-        n = cut.count()
-        blocks[length] = None if n > set_limit else [r[0] for r in cut.collect()]
-
-    def may_hold(w: Column) -> Column:
-        found = F.lit(False)
-        for length, hashes in blocks.items():
-            half = (length + 1) // 2
-            if hashes is None:
-                return F.size(w) > 0
-            found = found | ((F.size(w) >= length) & any_block(w, half, hashes))
-        return found
-
-    text = F.coalesce(F.col("text"), F.lit(""))
-    one = let(normal_words(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.when(may_hold(w), F.array_join(w, " ")).alias("norm")))
-    seen = materialise(documents.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"), one.alias("one")).select("doc_id", "text_md5", "one.*"), "decontamination-scan")
-
-    held = seen.where(F.col("norm").isNotNull())
-    parts = [held.select("text_md5", F.explode(let(F.split("norm", " "), windows_for(length))).alias("x")).select("text_md5", "x.*") for length in lengths]
-    if parts:
-        cut = parts[0]
-        for p in parts[1:]:
-            cut = cut.unionByName(p)
-        right = grams if any(v is None for v in blocks.values()) else F.broadcast(grams)
-        hits = cut.join(right, ["len", "gram"])
-        found = hits.groupBy("text_md5").agg(F.collect_set(F.struct("start", "len")).alias("spans"), F.collect_set("item_id").alias("items"))
-    else:
-        found = seen.where(F.lit(False)).select("text_md5", F.lit(None).cast("array<struct<start:int,len:int>>").alias("spans"), F.lit(None).cast("array<bigint>").alias("items"))
-    empty = F.array().cast("array<struct<start:int,len:int>>")
-    return seen.drop("norm").join(found, "text_md5", "left").select("doc_id", "text_md5", "n_words", F.coalesce(F.array_sort("spans"), empty).alias("spans"), F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"))
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = documents.select("doc_id", F.md5(text).alias("text_md5"), F.regexp_count("text", F.lit(WORD)).alias("n"))
+    rows = rows.select("doc_id", "text_md5", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"))
+    if not lengths:
+        return rows.withColumn("spans", F.array().cast(SPANS)).withColumn("items", F.array().cast(f"array<{benchmark.schema['item_id'].dataType.simpleString()}>"))
+
+    halves = sorted({(n + 1) // 2 for n in lengths})
+    sets = [grams.where(F.col("len") == n).select(F.lit((n + 1) // 2).alias("half"), F.explode(half_hashes(F.split("gram", " "), n - (n + 1) // 2 + 1, (n + 1) // 2)).alias("h")) for n in lengths]
+    blocks = materialise(_union(sets).distinct(), "benchmark-blocks")
+    cut = documents.where(F.col("text").isNotNull()).select(F.md5(text).alias("text_md5"), F.explode(let(normal_words(F.col("text")), lambda w: F.concat(*(aligned_blocks(w, k) for k in halves)))).alias("b"))
+    may = materialise(cut.select("text_md5", "b.half", "b.h").join(_small(blocks, set_limit), ["half", "h"], "left_semi").select("text_md5").distinct(), "benchmark-candidates")
+
+    held = documents.select(F.md5(text).alias("text_md5"), "text").where(F.col("text").isNotNull()).join(_small(may, set_limit), "text_md5", "left_semi").dropDuplicates(["text_md5"])
+    held = materialise(held.select("text_md5", normal_words(F.col("text")).alias("w")), "benchmark-candidate-words")
+    windows = _union([held.select("text_md5", F.explode(windows_of(F.col("w"), n)).alias("x")).select("text_md5", "x.*") for n in lengths])
+    hits = windows.join(_small(grams, set_limit), ["len", "gram"])
+    found = hits.groupBy("text_md5").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"), F.collect_set("item_id").alias("items"))
+    found = materialise(found, "benchmark-hits")
+    size = found.agg(F.coalesce(F.sum(F.size("spans") + F.size("items")), F.lit(0))).first()[0]
+    out = rows.join(F.broadcast(found) if size <= set_limit else found, "text_md5", "left")
+    return out.select("doc_id", "text_md5", "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast(found.schema["items"].dataType)).alias("items"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _small(df: DataFrame, limit: int) -> DataFrame:
+    """The table, to be broadcast if it has no more rows than the limit."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def hit_words(spans: Column) -> Column:
@@ -109,7 +109,11 @@ def hit_words(spans: Column) -> Column:
 
 
 def remove_documents(documents: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """The documents without any verified window, with all their columns."""
+    """The documents without any verified window, with all their columns.
+
+    Null and empty texts stay, repeated rows stay repeated, ties and a null
+    doc_id make no difference. An empty table gives an empty result.
+    """
     bad = scan(documents, benchmark, width).where(F.size("spans") > 0).select("text_md5").distinct()
     keyed = documents.withColumn("__md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return keyed.join(bad.withColumnRenamed("text_md5", "__md5"), "__md5", "left_anti").select(*documents.columns)
