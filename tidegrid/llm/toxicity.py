@@ -3,9 +3,10 @@
 A character model of order three is counted over all texts. A token that may be
 disguised (digits or signs among letters, a letter three times or more, letters
 set apart by signs or spaces) becomes a lattice of readings with channel costs;
-Viterbi decoding under the model picks one. All other tokens have one reading,
-themselves, and are not decoded. The score comes from word and word-beginning
-features learnt from labelled rows.
+Viterbi decoding under the model picks one. So do words with a doubled letter
+and neighbouring short tokens that the training rows lack but a learnt word may
+hide in. All other tokens have one reading, themselves, and are not decoded. The
+score comes from word and word-beginning features learnt from labelled rows.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that are learnt from at most, chosen by hash; features kept at most.
-TRAIN_ROWS, FEATURES = 20_000, 50_000
+from .common import materialise
+
+#: Labelled rows that are learnt from at most, chosen by hash.
+TRAIN_ROWS = 20_000
 #: Toxic rows that a feature needs, and the least log ratio of its rates.
 SUPPORT, LEAST = 3, 2.0
 
@@ -33,9 +36,11 @@ SEPARATORS = ".-_*~^'/\\ "
 AS_LETTER, LITERAL, DROPPED, KEPT, REPEAT = 1.0, 6.0, 1.0, 4.0, 0.7
 
 EDGE = ".,;:!?\"'()[]{}<>«»…"
-SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][0-9@$!|+(<.\-_*~^/\\]+[^\W\d_]|[0-9@$|+(<]+[^\W\d_]|.*[^\W\d_][0-9@$|+(<]+$|.*([^\W\d_])\1\1)", re.S)
+SUSPECT = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][0-9@$!|+(<.\-_*~^/\\]+[^\W\d_]|[0-9@$!|+(<]+[^\W\d_]|.*[^\W\d_][0-9@$|+(<]+$|.*([^\W\d_])\1\1)", re.S)
 TRIPLE = re.compile(r"(.)\1\1")
-MAX_STATES = 64
+DOUBLE = re.compile(r"([^\W\d_])\1")
+#: Letters of a token that may be part of a word cut by a space, and the evidence that makes it worth a look.
+FRAGMENT, STRONG = 4, 4.0
 
 
 def _codes() -> bytes:
@@ -94,7 +99,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             ways = [(x * k, AS_LETTER * n) for x in LEET.get(c, "") for k in sorted({1, min(n, 2)})]
             if c in SEPARATORS:
                 ways += [("", DROPPED), (" ", KEPT)]
-            out.append([*ways, (c * min(n, 3), LITERAL)])
+            out.append([*ways, (c * n, LITERAL)])
         i = j
     return out
 
@@ -113,7 +118,7 @@ def decode(token: str, model: np.ndarray) -> str:
                     at = at % SYMBOLS * SYMBOLS + k
                 if at not in after or s > after[at][0]:
                     after[at] = (s, (text, path))
-        beam = after if len(after) <= MAX_STATES else dict(sorted(after.items(), key=lambda x: -x[1][0])[:MAX_STATES])
+        beam = after  # SYMBOLS ** 2 states at most
     path, out = max(beam.values(), key=lambda x: x[0])[1], []
     while path:
         out.append(path[0])
@@ -122,25 +127,40 @@ def decode(token: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    """Restored words of texts; what a token decodes to is kept."""
+    """Restored words of texts; what a token decodes to is kept.
+
+    known: sorted feature hashes of the training rows; weight: evidence of
+    features. Without them, as in training, only tokens that look disguised by
+    themselves are decoded.
+    """
+
+    def __init__(self, model: np.ndarray, known: np.ndarray | None = None, weight: dict[int, float] | None = None):
+        self.model, self.seen, self.known, self.weight = model, {}, known if known is not None else np.empty(0, np.int64), weight or {}
 
-    def __init__(self, model: np.ndarray):
-        self.model, self.known = model, {}
+    def unknown(self, word: str) -> bool:
+        h = feature("=" + word)
+        at = int(np.searchsorted(self.known, h))
+        return at == len(self.known) or self.known[at] != h
+
+    def strong(self, word: str) -> bool:
+        return self.weight.get(feature("=" + word), 0.0) > STRONG
 
     def token(self, raw: str) -> tuple[str, ...]:
-        found = self.known.get(raw)
+        found = self.seen.get(raw)
         if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            t = raw.strip(EDGE)
-            if t.isalpha() and not TRIPLE.search(t):
-                self.known[raw] = (t,)
-                return (t,)
-            lead = raw.strip(EDGE.replace("(", "").replace("<", "").replace("!", ""))
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            t, lead = raw.strip(EDGE), raw.rstrip(EDGE).lstrip(EDGE.replace("(", "").replace("<", "").replace("!", ""))
             found = (t,) if t else ()
-            if SUSPECT.match(lead) and not t.isdigit():
+            if lead.isalpha():
+                doubled = TRIPLE.search(lead) or (len(self.known) and DOUBLE.search(lead) and self.unknown(lead))
+            else:
+                doubled = False
+            if doubled or (SUSPECT.match(lead) and not t.isdigit()):
                 found = tuple(dict.fromkeys([*filter(None, (w.strip(EDGE) for w in decode(lead, self.model).split())), *found]))
-            self.known[raw] = found
+                if doubled:  # each doubled letter once, should the model have kept it
+                    found = tuple(dict.fromkeys([*found, DOUBLE.sub(r"\1", t)]))
+            self.seen[raw] = found
         return found
 
     def words(self, text: str) -> set[str]:
@@ -152,7 +172,7 @@ class Restorer:
         return out
 
     def spaced(self, tokens: list[str]) -> set[str]:
-        """The words that runs of three single characters or more spell, half of them letters."""
+        """The words that runs of three single characters or more spell, half of them letters, and those that two short tokens make."""
         out = set()
         single = [i for i, t in enumerate(tokens) if len(t) == 1]
         k = 0
@@ -162,15 +182,29 @@ class Restorer:
                 m += 1
             run = [tokens[i] for i in single[k : m + 1]]
             if len(run) >= 3 and 2 * sum(x.isalpha() for x in run) >= len(run):
-                out.update(decode(" ".join(run), self.model).split())
+                found = decode(" ".join(run), self.model).split()
+                out.update(found)
+                if self.weight:
+                    # Where words follow each other letter by letter, their borders are found by the words that are known.
+                    letters = "".join(found)
+                    out.update(w for i in range(len(letters)) for n in range(4, 17) if i + n <= len(letters) and self.strong(w := letters[i : i + n]))
             k = m + 1
+        if self.weight:
+            short = [i for i, t in enumerate(tokens) if 1 < len(t) <= FRAGMENT and t.isalpha()]
+            for i, j in zip(short, short[1:]):
+                if j == i + 1 and self.strong(tokens[i] + tokens[j]) and (self.unknown(tokens[i]) or self.unknown(tokens[j])):
+                    out.update(decode(tokens[i] + " " + tokens[j], self.model).split())
         return out
 
 
+def feature(part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part.encode()) - (1 << 63)
+
+
 def features(word: str) -> list[int]:
     """Hashes of the word and of its first 4, 5 and 6 letters."""
     parts = {"=" + word, *("^" + word[:n] for n in (4, 5, 6) if len(word) >= n)}
-    return [xxhash.xxh3_64_intdigest(p.encode()) - (1 << 63) for p in parts]
+    return [feature(p) for p in parts]
 
 
 def _learner(model):
@@ -208,8 +242,8 @@ def _evidence(shared, kind: str):
     """Per text: the strongest feature, and how many words have a strong one."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, weight, fit = shared.value
-        restore = Restorer(model)
+        model, weight, known_features, fit = shared.value
+        restore = Restorer(model, known_features, weight)
 
         class Weights(dict):
             def __missing__(self, raw):
@@ -278,21 +312,22 @@ def scores(documents: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS
     chosen = usable.where(draw < int(1_000_000 * min(1.0, train_rows / max(n, 1)))).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(10)) < 7)
     rows = docs.join(F.broadcast(chosen), "doc_id")  # train_rows rows or a little more
     model = char_model(documents)
-    size = {(bool(t), bool(f)): k for t, f, k in chosen.groupBy("toxic", "fold").count().collect()}
+    size = {(bool(t), bool(f)): k for t, f, k in rows.groupBy("toxic", "fold").count().collect()}
     toxic, clean = (size.get((t, True), 0) for t in (True, False))
-    weights, fit = {}, np.zeros(3)
+    weights, known, fit = {}, np.empty(0, np.int64), np.zeros(3)
     share = (toxic + size.get((True, False), 0)) / max(1, sum(size.values()))
     if toxic and clean and size.get((True, False)) and size.get((False, False)):
         counts = rows.where("fold").select("text", "toxic").mapInArrow(_learner(spark.sparkContext.broadcast(model)), "feature long, toxic long, clean long")
-        counts = counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(F.col("a") >= SUPPORT)
+        counts = materialise(counts.groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")), "toxicity-features")
         weight = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))
-        kept = counts.withColumn("w", weight).where(F.col("w") >= LEAST).orderBy(F.desc(F.col("a") * F.col("w")), "feature").limit(FEATURES)
-        weights = {r["feature"]: r["w"] for r in kept.select("feature", "w").collect()}
-        shared = spark.sparkContext.broadcast((model, weights, fit))
+        # As many as the features of train_rows rows at most.
+        weights = {r["feature"]: r["w"] for r in counts.where(F.col("a") >= SUPPORT).withColumn("w", weight).where(F.col("w") >= LEAST).select("feature", "w").collect()}
+        known = np.sort(counts.select("feature").toPandas()["feature"].to_numpy(np.int64))
+        shared = spark.sparkContext.broadcast((model, weights, known, fit))
         seen = rows.where("NOT fold").select("text", "toxic").mapInArrow(_evidence(shared, "fit"), "top double, many double, toxic int").toPandas()
         x = np.column_stack([np.ones(len(seen)), seen["top"], seen["many"]])
         fit = logistic(x, seen["toxic"].to_numpy(float))
     else:
         fit[0] = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    shared = spark.sparkContext.broadcast((model, weights, fit))
+    shared = spark.sparkContext.broadcast((model, weights, known, fit))
     return docs.mapInArrow(_evidence(shared, "score"), "doc_id long, score double")
