@@ -11,34 +11,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, materialise
+from .common import ascii_lower, materialise
 
 LG_K = 12
 #: Estimates within this share of the threshold, and one site at least, are counted exactly: five standard errors at LG_K.
 BAND = 5 * 1.04 / 2 ** (LG_K / 2)
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(line), SPACE, " "))
+def line_keys(text: Column) -> Column:
+    """The hash of each line's normal form, in order; null for blank lines. One pass of the pattern for the whole text."""
+    normal = F.regexp_replace(ascii_lower(text), "[\\x20\\x09\\x0B-\\x0D]+", " ")
+    return F.transform(F.split(normal, "\n"), lambda x: F.when(~x.isin("", " "), F.xxhash64(F.trim(x))))
 
 
-def line_keys(text: Column) -> Column:
-    """Distinct hashes of a text's normalised lines that are not blank."""
-    lines = F.filter(F.transform(F.split(text, "\n"), normal), lambda x: x != "")
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))
+def facts(documents: DataFrame, site: str = "source") -> DataFrame:
+    """md5, site, keys: one row per row with a text."""
+    text = F.col("text")
+    return documents.where(text.isNotNull()).select(F.md5(text.cast("binary")).alias("md5"), F.col(site).alias("site"), line_keys(text).alias("keys"))
 
 
-def boilerplate(documents: DataFrame, sites: int = 10, site: str = "source") -> DataFrame:
-    """line: the hashes of lines on at least so many distinct sites. Null sites don't count."""
-    lines = documents.where(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.explode(line_keys(F.col("text"))).alias("line"))
-    pairs = materialise(lines.groupBy("line", "site").agg(F.count("*").alias("texts")), "line-sites")
-    # Pairs are distinct, so a common line feeds each site to its sketch once.
-    often = pairs.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch")).select("line", F.hll_sketch_estimate("sketch").alias("estimate"))
-    often = materialise(often.where(F.col("estimate") >= min(sites * (1 - BAND), sites - 1)), "line-spread")
-    sure = often.where(F.col("estimate") > max(sites * (1 + BAND), sites + 1)).select("line")
-    near = often.where(F.col("estimate") <= max(sites * (1 + BAND), sites + 1)).select("line")
-    exact = pairs.join(near, "line").select("line", "site").distinct().groupBy("line").count().where(F.col("count") >= sites).select("line")
-    return sure.unionByName(exact)
+def boilerplate(known: DataFrame, sites: int = 10) -> DataFrame:
+    """line: the hashes of lines on at least so many distinct sites, from facts(). Null sites don't count.
+
+    Tasks sketch the lines that they hold; the sketches of a line merge by
+    aggregation, so a common line is one row a task when it is shuffled.
+    """
+    lines = known.where(F.col("site").isNotNull()).select("site", F.explode(F.array_distinct(F.array_compact("keys"))).alias("line"))
+    spread = lines.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("estimate"))
+    often = materialise(spread.where(F.col("estimate") >= min(sites * (1 - BAND), sites - 1)), "line-spread")
+    clear = F.col("estimate") > max(sites * (1 + BAND), sites + 1)
+    near = often.where(~clear).select("line")
+    exact = lines.join(near, "line").distinct().groupBy("line").count().where(F.col("count") >= sites).select("line")
+    return often.where(clear).select("line").unionByName(exact)
 
 
 def remove(documents: DataFrame, sites: int = 10, site: str = "source") -> DataFrame:
@@ -46,16 +50,14 @@ def remove(documents: DataFrame, sites: int = 10, site: str = "source") -> DataF
 
     Null texts stay null and have no lines; blank lines are kept and not
     counted. Repeated rows stay repeated. An empty table gives an empty result.
+    Columns n_lines and n_removed of the input are replaced; other extra
+    columns are kept.
     """
-    known = materialise(boilerplate(documents, sites, site), "boilerplate")
-    md5 = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    keys = documents.where(F.col("text").isNotNull()).select(md5.alias("__md5"), F.explode(line_keys(F.col("text"))).alias("line"))
-    found = keys.join(known, "line").groupBy("__md5").agg(F.collect_set("line").alias("__drop"))
-    joined = documents.withColumn("__md5", md5).join(found, "__md5", "left")
-    drop = F.coalesce("__drop", F.array().cast("array<bigint>"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains(drop, F.xxhash64(normal(x))))
-    blank = lambda c: F.size(F.filter(c, lambda x: normal(x) != ""))
-    out = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(blank(lines)).cast("long")).withColumn("__kept", kept)
-    out = out.withColumn("n_removed", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long"))
-    return out.withColumn("text", F.array_join("__kept", "\n")).drop("__md5", "__drop", "__kept")
+    known = materialise(facts(documents, site), "line-facts")
+    gone = materialise(boilerplate(known, sites), "boilerplate").select("line", F.lit(True).alias("gone"))
+    lines = known.dropDuplicates(["md5"]).select("md5", F.posexplode_outer("keys").alias("at", "line"))
+    marks = lines.join(gone, "line", "left").groupBy(F.col("md5").alias("__md5")).agg(F.count("line").alias("__lines"), F.collect_list(F.when(F.col("gone"), F.col("at"))).alias("__drop"))
+    out = documents.withColumn("__md5", F.md5(F.col("text").cast("binary"))).join(materialise(marks, "line-marks"), "__md5", "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__drop", i)), "\n")
+    out = out.withColumn("n_lines", F.coalesce("__lines", F.lit(0)).cast("long")).withColumn("n_removed", F.greatest(F.size("__drop"), F.lit(0)).cast("long"))
+    return out.withColumn("text", F.when(F.col("n_removed") > 0, kept).otherwise(F.col("text"))).drop("__md5", "__drop", "__lines")
