@@ -27,7 +27,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, materialise
@@ -49,8 +49,8 @@ FAR = (1 << 16) - 1
 MAX_LIGHT = 12
 #: Pairs of one pivot that are verified in one group.
 GROUP = 512
-#: Bits of the filter by which only texts of listed sets are cut again; more sets than it can tell apart cost time only.
-FILTER_BITS = 1 << 24
+#: Bits at most of the filter by which only texts of listed sets are cut again, and of a stretch of it.
+MAX_FILTER, BLOCK_BITS = 1 << 30, 1 << 16
 STAR_ROUNDS = 2
 #: From this size on a component is compared with what it may link to in blocks, not pair by pair; members or others of a block.
 BIG, BLOCK = 64, 512
@@ -141,8 +141,8 @@ def _counts_of(tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per text; rows without doc_id but with a token are counts of frequent tokens."""
     ids, tokens, counts = _Ids(), [], []
-    names = ["doc_id", "n", "set_id", "token", "texts"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "row", "n", "set_id", "token", "texts"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def rows(*cols):
         size = max(len(c) for c in cols if c is not None)
@@ -157,7 +157,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) and key[-1] not in seen:
                 seen.add(key[-1])
                 sets.append(s)
-        yield rows(batch.column("doc_id").to_pylist(), n, key, None, None)
+        yield rows(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), n, key, None, None)
         t, c = _counts_of(sets)
         tokens.append(t)
         counts.append(c)
@@ -167,7 +167,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.bincount(back, np.concatenate(counts), len(t)).astype(np.int64)
         top = np.argsort(-c, kind="stable")[:FREQUENT_TASK]
         if len(top):
-            yield rows(None, None, None, t[top].view(np.int64), c[top])
+            yield rows(None, None, None, None, t[top].view(np.int64), c[top])
 
 
 def ordered(s: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -332,7 +332,7 @@ def _as_text():
 def _tester(test, reader):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by pivot and group, the pivot's own first."""
-        pivots, key, read = [], None, reader()  # more than one only if texts share a doc_id
+        pivots, key, read = [], None, reader()  # one row each, as texts() has one for each id
         for batch in batches:
             a, b = [], []
             for k in range(0, batch.num_rows, SLICE):
@@ -361,8 +361,8 @@ def tested(pairs: DataFrame, sets: DataFrame, test, reader) -> DataFrame:
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test, reader), "a long, b long")
 
 
-def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by cell, a component's members before the others; a link to one member is enough."""
+def _grid(batches: Iterator[pa.RecordBatch], every: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by cell, a component's members before the others; a link to one member is enough unless every one counts."""
     members, cell, read = [], None, _as_text()
     for batch in batches:
         a, b = [], []
@@ -376,10 +376,11 @@ def _grid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     members.append((row_id, n, tokens))
                     continue
                 for m, size, own in members:
-                    if links_exactly(own, tokens, size, n):
+                    if (not every or m < row_id) and links_exactly(own, tokens, size, n):
                         a.append(m)
                         b.append(row_id)
-                        break
+                        if not every:
+                            break
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
@@ -394,8 +395,22 @@ def compared(docs: DataFrame, lists: DataFrame, big: DataFrame) -> DataFrame:
     left = members.join(shape, "comp").select("comp", row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("col"), F.lit(False).alias("other"), "id")
     right = other.join(shape, "comp").select("comp", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), col.alias("col"), F.lit(True).alias("other"), "id")
     ask = materialise(left.unionByName(right), "shingle-grid")
+    return _in_cells(docs, ask, every=False)
+
+
+def _in_cells(docs: DataFrame, ask: DataFrame, every: bool) -> DataFrame:
     rows = ask.join(full_texts(docs, ask.select("id")), "id").select("comp", "row", "col", "other", "id", "held")
-    return rows.repartition("comp", "row", "col").sortWithinPartitions("comp", "row", "col", "other").mapInArrow(_grid, "a long, b long")
+    return rows.repartition("comp", "row", "col").sortWithinPartitions("comp", "row", "col", "other").mapInArrow(lambda batches: _grid(batches, every), "a long, b long")
+
+
+def compared_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links (a, b) within long lists, in cells of BLOCK by BLOCK sets: a list of k sets gives k * k / BLOCK rows, not k * k."""
+    shape = lists.groupBy("run").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("side"))
+    at = F.pmod(F.xxhash64("id"), F.col("side")).cast("int")
+    own = lists.join(shape, "run").select(F.col("run").alias("comp"), "id", at.alias("at"), F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias("k"))
+    left = own.select("comp", F.col("at").alias("row"), F.col("k").alias("col"), F.lit(False).alias("other"), "id")
+    right = own.select("comp", F.col("k").alias("row"), F.col("at").alias("col"), F.lit(True).alias("other"), "id")
+    return _in_cells(docs, materialise(left.unionByName(right), "shingle-grid"), every=True)
 
 
 def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -406,22 +421,41 @@ def sketched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where((100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
-def filter_of(keys: DataFrame, key: str):
-    """A broadcast filter of fixed size that holds every key, and may hold others."""
-    bits = keys.select(F.expr(f"xxhash64({key}) & {FILTER_BITS - 1}").alias("at"))
-    words = bits.groupBy(F.expr("at div 8").alias("w")).agg(F.bit_or(F.expr("shiftleft(1, cast(at % 8 as int))")).alias("x")).toPandas()  # FILTER_BITS / 8 rows at most
-    filled = np.zeros(FILTER_BITS // 8, np.uint8)
-    filled[words["w"].to_numpy(np.int64)] = words["x"].to_numpy(np.int64)
-    return keys.sparkSession.sparkContext.broadcast(filled)
+def filter_bits(keys: int) -> int:
+    """Bits of a filter that lets about one stranger in sixteen through; MAX_FILTER bounds its size, more strangers cost time only."""
+    return min(MAX_FILTER, max(1 << 16, 1 << (16 * max(keys, 1) - 1).bit_length()))
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, bits) of the filter: each block is a stretch of BLOCK_BITS of it."""
+    blocks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at = batch.column("at").to_numpy()
+        for block in np.unique(at // BLOCK_BITS):
+            mine = at[at // BLOCK_BITS == block] % BLOCK_BITS
+            np.bitwise_or.at(blocks.setdefault(int(block), np.zeros(BLOCK_BITS // 8, np.uint8)), mine >> 3, (1 << (mine & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], ["block", "bits"])
 
 
-def _passing(shared):
+def filter_of(keys: DataFrame, key: str):
+    """A broadcast filter that holds every key, and may hold others; and its size in bits, set by the number of keys."""
+    size = filter_bits(keys.count())
+    at = keys.select(F.pmod(F.xxhash64(key), F.lit(size)).alias("at"))
+    rows = at.repartition(max(1, min(size // BLOCK_BITS, 64)), F.floor(F.col("at") / BLOCK_BITS)).mapInArrow(_set_bits, "block long, bits binary").collect()
+    filled = np.zeros(size // 8, np.uint8)
+    for block, bits in rows:
+        k = block * BLOCK_BITS // 8
+        filled[k : k + BLOCK_BITS // 8] = np.frombuffer(bits, np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(filled), size
+
+
+def _passing(shared, size: int):
     """Rows whose hash h is in the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            at = batch.column("h").to_numpy(zero_copy_only=False) & (FILTER_BITS - 1)
+            at = batch.column("h").to_numpy(zero_copy_only=False) & (size - 1)
             batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1))
             if batch.num_rows:
                 yield batch
@@ -433,17 +467,16 @@ def signs_of(signed: DataFrame, inside: DataFrame, ids: DataFrame, column: str)
     """id, n and one column of what was signed for the ids; other sets are left out before anything is shuffled."""
     wanted = materialise(inside.select("id", "set_id").join(ids.distinct(), "id"), "shingle-wanted")
     rows = signed.select("set_id", "n", column, F.xxhash64("set_id").alias("h"))
-    rows = rows.mapInArrow(_passing(filter_of(wanted, "set_id")), rows.schema).drop("h")
+    rows = rows.mapInArrow(_passing(*filter_of(wanted, "set_id")), rows.schema).drop("h")
     return rows.join(wanted, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", column)
 
 
 def full_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, n (null), held: the texts listed. A filter of fixed size lets texts through before the shuffle, the join drops what it lets through in error."""
     ids = materialise(ids.distinct(), "shingle-ids")
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), F.lit(None).cast("int").alias("n"), F.col("text").cast("binary").alias("held"), F.xxhash64("doc_id").alias("h"))
-    again = rows.mapInArrow(_passing(filter_of(ids, "id")), rows.schema).drop("h")
-    # Rows of one doc_id may differ in their text; then all of them were candidates' names and any link counts for the id.
-    return again.join(ids, "id", "left_semi")
+    rows = docs.where(F.col("text").isNotNull()).select(F.col("row").alias("id"), F.lit(None).cast("int").alias("n"), F.col("text").cast("binary").alias("held"), F.xxhash64("row").alias("h"))
+    again = rows.mapInArrow(_passing(*filter_of(ids, "id")), rows.schema).drop("h")
+    return again.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
 def both_ids(pairs: DataFrame) -> DataFrame:
@@ -477,9 +510,17 @@ def _near_front(na: str, pa: str, nb: str, pb: str):
     return (100 + PERCENT) * (F.col(pa) + F.col(pb)) <= (100 - PERCENT) * (F.col(na) + F.col(nb))
 
 
-def classes(documents: DataFrame) -> DataFrame:
+def row_key() -> Column:
+    """A number for doc_id and text together: the join works on texts, whatever their ids are."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
+def classes(documents: DataFrame, with_rows: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per input row.
 
+    With with_rows also row, the row_key() of the text, and class_id, a name of
+    the component that does not depend on ids.
+
     Null texts and texts without words have no shingles and link with nothing.
     Repeated rows and rows with equal doc_id each get a row, with equal results
     for equal texts; a null doc_id is never a component's name unless all of its
@@ -488,11 +529,13 @@ def classes(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = materialise(docs.mapInArrow(_survey, "doc_id long, n int, set_id long, token long, texts long"), "shingle-survey")
-    texts = materialise(survey.where(F.col("token").isNull()).select("doc_id", "n", "set_id"), "shingle-texts")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("row"))
+    survey = materialise(docs.mapInArrow(_survey, "doc_id long, row long, n int, set_id long, token long, texts long"), "shingle-survey")
+    texts = materialise(survey.where(F.col("token").isNull()).select("doc_id", "row", "n", "set_id"), "shingle-texts")
 
-    often = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("texts").alias("texts")).orderBy(F.desc("texts"), "token").limit(FREQUENT).toPandas()
+    often = survey.where(F.col("token").isNotNull()).groupBy("token").agg(F.sum("texts").alias("texts"))
+    mean_list = often.agg(F.coalesce(F.avg("texts"), F.lit(2.0))).first()[0]
+    often = often.orderBy(F.desc("texts"), "token").limit(FREQUENT).toPandas()
     forget(survey)
     token = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -500,16 +543,18 @@ def classes(documents: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast((token[order], -order, hot))  # the most frequent comes last
 
     own = texts.where(F.col("n") > 0)
-    reps = materialise(own.groupBy("n", "set_id").agg(F.min("doc_id").alias("id")), "shingle-classes")
+    reps = materialise(own.groupBy("n", "set_id").agg(F.min("row").alias("id"), F.min("doc_id").alias("first")), "shingle-classes")
     small = dict(reps.where(F.col("n") <= MAX_LIGHT * 5 // 4).groupBy("n").count().collect())
-    light = boundary(small)
+    light = boundary(small, mean_list)
     signed = materialise(docs.mapInArrow(_signer(shared, light), "set_id long, n int, prefix binary, subsets binary, sketch array<long>"), "shingle-prefixes")
     posted = signed.select("set_id", "n", "prefix", "subsets").mapInArrow(_poster(shared, light, 4 * partitions), "bucket int, block binary, run long, set_id long, pos int")
     spread = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("run", "set_id"), F.lit(4 * partitions)).cast("int"))
     runs = posted.repartition(partitions, spread).mapInArrow(_runs, "run long, set_id long, pos int").groupBy("run", "set_id").agg(F.min("pos").alias("pos"))
-    runs = materialise(runs.join(reps, "set_id").where(F.col("id").isNotNull()).select("run", "id", "n", "pos", "set_id"), "shingle-runs")
-    inside = materialise(runs.groupBy("id", "set_id").agg(F.count("*").alias("lists")), "shingle-inside")
-    runs = materialise(runs.drop("set_id").join(inside.select("id", "lists").groupBy("id").agg(F.max("lists").alias("lists")), "id"), "shingle-lists")
+    # How many lists a set is in is counted where the set's postings meet its class, in one shuffle.
+    runs = runs.withColumn("lists", F.count("*").over(Window.partitionBy("set_id"))).join(reps.select("set_id", "id", "n"), "set_id")
+    runs = materialise(runs, "shingle-runs")
+    inside = materialise(runs.select("id", "set_id").distinct(), "shingle-inside")
+    runs = runs.drop("set_id")
 
     links, tried, comp, open_runs = None, None, None, runs
     for turn in range(STAR_ROUNDS + 1):
@@ -524,7 +569,11 @@ def classes(documents: DataFrame) -> DataFrame:
             big = materialise(sizes.where(F.col("count") > BIG).select("comp"), "shingle-big")
             if not big.isEmpty():
                 links = links.unionByName(materialise(compared(docs, open_runs, big), "shingle-links"))
-            rest = open_runs.join(big, "comp", "left_anti")
+            rest = materialise(open_runs.join(big, "comp", "left_anti"), "shingle-rest")
+            long = rest.groupBy("run").count().where(F.col("count") > BLOCK).select("run")
+            if not long.isEmpty():
+                links = links.unionByName(materialise(compared_lists(docs, rest.join(long, "run", "left_semi")), "shingle-links"))
+                rest = rest.join(long, "run", "left_anti")
             x, y = rest.select("run", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca")), rest.select("run", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
             pairs = x.join(y, "run").where((F.col("ca") < F.col("cb")) & _close("na", "nb") & _near_front("na", "pa", "nb", "pb")).select("a", "b")
         pairs = pairs.select("a", "b").distinct()
@@ -552,13 +601,33 @@ def classes(documents: DataFrame) -> DataFrame:
             break
 
     forget(signed)
-    named = reps.join(comp, "id", "left").select("n", "set_id", F.coalesce("comp", "id").alias("component_id"))
-    some = own.join(named, ["n", "set_id"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
-    none = texts.where(F.col("n") == 0).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = materialise(reps.join(comp, "id", "left").select("n", "set_id", "first", F.coalesce("comp", "id").alias("class_id")), "shingle-named")
+    first = named.groupBy("class_id").agg(F.min("first").alias("component_id"))
+    named = named.drop("first").join(first, "class_id")
+    more = ["row", "class_id"] if with_rows else []
+    some = own.join(named, ["n", "set_id"]).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", *more)
+    none = texts.where(F.col("n") == 0).withColumn("class_id", F.lit(None).cast("long")).select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), *more)
     return some.unionByName(none)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The documents without those that a smaller doc_id of their component stands for; rows with an equal doc_id stay together."""
-    extra = classes(documents).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(extra, F.col("doc_id") == F.col("__id"), "left_anti")
+    """One row of each component: of the rows of its smallest doc_id, null last, the first by text.
+
+    Decided by row, not by doc_id: of exact copies with equal or null ids one
+    stays, and a row goes only for links of its own text. Null texts and texts
+    without words link with nothing and all stay. Rows equal in doc_id and text
+    are one. An empty table gives an empty result. A column __row of the input
+    is not allowed.
+    """
+    named = materialise(classes(documents, with_rows=True), "keep-one").where(F.col("n_shingles") > 0)
+    key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row")
+    rows = named.groupBy("class_id", key.alias("x")).agg(F.count("*").alias("times"))
+    best = rows.groupBy("class_id").agg(F.min("x").alias("best"))
+    rows = materialise(rows.join(best, "class_id").select(F.col("x.row").alias("__row"), "times", (F.col("x") != F.col("best")).alias("gone")), "keep-one-rows")
+    left = documents.withColumn("__row", row_key()).join(rows.where("gone").select("__row"), "__row", "left_anti")
+    # Rows equal in doc_id and text are left; only texts of such rows are shuffled to keep one.
+    again = rows.where(~F.col("gone") & (F.col("times") > 1)).select("__row")
+    if again.isEmpty():
+        return left.drop("__row")
+    once = left.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+    return left.join(again, "__row", "left_anti").unionByName(once).drop("__row")
