@@ -95,6 +95,44 @@ def test_jaccard_against_brute_force(spark, real):
     assert got == {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def test_boundary_follows_the_length_of_lists(spark):
+    """Where lists are long, small sets enumerate subsets instead; the result is the same on both sides."""
+    assert jaccard.boundary({n: 100 for n in range(1, 16)}, 1.0) < jaccard.boundary({n: 100 for n in range(1, 16)}, 60.0)
+    assert jaccard.boundary({n: 100 for n in range(1, 16)}, 60.0) > 5
+    rng = np.random.default_rng(4)
+    base = [f"v{i}" for i in range(40)]
+    texts = [" ".join(base[a : a + n]) for a in range(0, 20, 5) for n in range(5, 15)] + [" ".join(rng.choice(base, 9)) for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    results = []
+    for most in (0, 12):
+        old, jaccard.boundary = jaccard.boundary, lambda small, mean, most=most: most
+        try:
+            results.append({r["doc_id"]: tuple(r) for r in jaccard.classes(docs).collect()})
+        finally:
+            jaccard.boundary = old
+    assert results[0] == results[1] and len({r[2] for r in results[0].values()}) < len(texts)
+
+
+def test_long_lists_are_compared_in_blocks(spark):
+    texts = ["one two three four five six seven eight nine ten " + x for x in ("a", "b", "a c", "z y x w v u t s r q p", "b d")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("row", F.col("doc_id"))
+    lists = spark.createDataFrame([(1, i) for i in range(len(texts))], "run long, id long")
+    old, jaccard.BLOCK = jaccard.BLOCK, 2
+    try:
+        got = {tuple(sorted(r)) for r in jaccard.compared_lists(docs, lists).collect()}
+    finally:
+        jaccard.BLOCK = old
+    sets = [shingles(t) for t in texts]
+    assert got == {(a, b) for b in range(len(texts)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+
+
+def test_keep_one_decides_by_row(spark):
+    near = WORDS + " w60 w61"
+    rows = [(1, WORDS), (1, "other text of the same id " + "q " * 9), (2, near), (2, near), (None, near), (None, "lone text"), (3, None), (3, None), (4, ""), (5, "lone text")]
+    got = sorted((tuple(r) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, WORDS), rows[1], (5, "lone text"), (3, None), (3, None), (4, "")], key=str)
+
+
 def test_light_and_heavy_sets_link(spark):
     base = [f"v{i}" for i in range(18)]
     texts = [" ".join(base[:n]) for n in (3, 4, 5, 8, 9, 12, 13, 14, 17, 18)]
@@ -114,7 +152,7 @@ def test_big_components_compare_in_blocks(spark):
     rng = np.random.default_rng(7)
     base = [f"w{i}" for i in range(60)]
     texts = [" ".join(base[: 60 - int(k)]) for k in rng.integers(0, 12, 9)] + ["other words that nobody shares", "", None]
-    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").withColumn("row", F.col("doc_id"))
     lists = spark.createDataFrame([(1, i, 0 if i < 5 else i) for i in range(len(texts))], "run long, id long, comp long")
     big = spark.createDataFrame([(0,)], "comp long")
     old, jaccard.BLOCK = jaccard.BLOCK, 2
@@ -178,16 +216,48 @@ def test_language_model_counts_and_quality(spark, real):
     assert total("score") > total("base_score")
 
 
-def test_predictive_probabilities_sum_to_one(spark):
-    words = spark.createDataFrame([(b"the", 50), (b"cat", 3), (b"", 9), (b"mat", 1)], "word binary, c long")
-    kept, total = pitman_yor.train(words)
-
-    state = type("S", (), {"value": kept})
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_pydict({"word": pa.array([b"the", b"cat", b"", b"mat", b"dog"], pa.binary()), "c": pa.array([50, 3, 9, 1, 0], pa.int64())})
-    p = sum(10 ** x for b in pitman_yor._predictor(state, total)([batch]) for x in b.column("logp").to_pylist())
-    assert p == pytest.approx(1, abs=1e-3)
+def test_language_model_minds_the_order_of_words(spark):
+    """Word contexts: a text scores better than its words in another order, and than under single words."""
+    texts = ["the cat sat on the mat", "a dog sat on the rug", "the dog lay on a mat", "a cat lay on the rug"] * 30
+    rows = [*enumerate(texts), (1000, "the cat sat on the rug"), (1001, "rug the on sat cat the"), (1002, "the zebra sat"), (1003, None), (None, "")]
+    got = {r["doc_id"]: r for r in pitman_yor.score(spark.createDataFrame(rows, "doc_id long, text string"), held=F.col("doc_id") >= 1000).collect()}
+    assert got[1000]["score"] > got[1001]["score"] + 2 and got[1000]["base_score"] == pytest.approx(got[1001]["base_score"])
+    assert got[1002]["n_known"] == 3 and got[1003]["n_tokens"] == got[None]["n_tokens"] == 1 and len(got) == len(rows)
+    assert got[1003]["score"] == pytest.approx(got[None]["score"])
+
+
+def test_gibbs_moves_keep_the_law_of_tables():
+    """For one dish and a fixed parent the number of tables has the weights S(c, t) * strength ** t; many sweeps must show them."""
+    c, d, strength = 6, 0.4, 1.3
+    stirling = [[0.0] * (c + 2) for _ in range(c + 1)]
+    stirling[1][1] = 1.0
+    for n in range(2, c + 1):
+        for t in range(1, n + 1):
+            stirling[n][t] = stirling[n - 1][t - 1] + (n - 1 - d * t) * stirling[n - 1][t]
+    want = np.array([stirling[c][t] * strength**t for t in range(1, c + 1)])
+    want /= want.sum()
+    n = 20_000
+    customers, key = np.full(n, c), np.arange(n).astype(np.uint64)
+    t = pitman_yor.seat(customers, np.full(n, strength), d, key, 0)
+    for sweep in range(1, 8):
+        t = pitman_yor.reseat(customers, t, np.full(n, strength), d, key, sweep)
+    seen = np.bincount(t, minlength=c + 1)[1 : c + 1] / n
+    assert np.abs(seen - want).max() < 0.015
+
+
+def test_predictive_probabilities_sum_to_one():
+    """The parts that a chunk is sent make a law: for each context all known words and the unknown one sum to 1."""
+    rng, d, concentration = np.random.default_rng(2), 0.6, 1.0
+    counts = rng.integers(0, 5, (4, 7))
+    tables = np.where(counts > 0, rng.integers(1, np.maximum(counts, 1) + 1), 0)
+    customers = tables.sum(axis=0)
+    of_words = np.minimum(np.maximum(customers // 2, 1), np.maximum(customers, 1)) * (customers > 0)
+    p = (customers - d * of_words + (concentration + d * of_words.sum()) / 8) / (concentration + customers.sum())
+    p = np.append(p, (concentration + d * of_words.sum()) / 8 / (concentration + customers.sum()))
+    assert p.sum() == pytest.approx(1)
+    for u in range(4):
+        own = np.append(counts[u] - d * tables[u], 0)
+        assert ((own + (concentration + d * tables[u].sum()) * p) / (concentration + counts[u].sum())).sum() == pytest.approx(1)
 
 
 def test_noisy_channel():
@@ -197,6 +267,40 @@ def test_noisy_channel():
     assert "idiot" in restore.words("an 1d10t here") and "loser" in restore.words("you l0s3r!") and "trash" in restore.words("tr@$h")
     assert "moron" in restore.words("a m o r o n there") and "idiot" in restore.words("idiiiiot")
     assert restore.words("plain words stay.") == {"plain", "words", "stay"}
+    weight = {toxicity.feature("=" + w): 6.0 for w in ("idiot", "moron", "loser")}
+    known = np.sort(np.array([toxicity.feature("=" + w) for w in "the idiot is here a moron was there it that hello".split()], np.int64))
+    restore = toxicity.Restorer(model, known, weight)
+    assert "idiot" in restore.words("an !diot") and "idiot" in restore.words("(idiot)") and "idiot" in restore.words("iddiot") and "moron" in restore.words("a morron")
+    assert "idiot" in restore.words("such an id iot") and "moron" in restore.words("mo ron") and restore.words("hello") == {"hello"}
+    assert {"idiot", "moron"} <= restore.words("you i d i o t m o r o n")
+
+
+def test_toxicity_on_held_out_labels_and_disguises(spark):
+    """Held-out labels, as they are and with the toxic words disguised."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    mine = labels.where(toxicity.held_out()).join(docs, "doc_id").select("doc_id", "text", "toxic").collect()
+    ways = {"plain": lambda t: t, "leet": lambda t: t.translate(str.maketrans("oieas", "013@$")), "spaced": lambda t: " ".join(" ".join(w) if len(w) > 4 else w for w in t.split(" ")), "long": lambda t: "".join(c * 3 if c in "aeiou" else c for c in t)}
+    made = [(10_000_000 + k * 100_000 + r["doc_id"], way(r["text"] or ""), r["toxic"], name) for k, (name, way) in enumerate(ways.items()) for r in mine]
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"))
+    score = {r["doc_id"]: r["score"] for r in toxicity.scores(frame, labels).collect()}
+    for name in ways:
+        toxic = [score[i] for i, _, y, n in made if n == name and y == 1]
+        clean = [score[i] for i, _, y, n in made if n == name and y == 0]
+        assert sum(s >= 0.7 for s in toxic) >= 0.8 * len(toxic), name
+        assert sum(s >= 0.7 for s in clean) <= 0.02 * len(clean) + 1, name
+
+
+def test_chat_edges(spark):
+    """Messages with fields aside and lists without messages are known; clashing columns are replaced; unknown layouts are counted."""
+    records = ['{"messages": []}', '{"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "bot", "content": "b"}]}', '{"value": "v", "from": "gpt"}', '{"odd": [1]}', None]
+    frame = spark.createDataFrame([(1, i, x, "old", 7) for i, x in enumerate(records)], "conv_id int, turn int, record string, layout string, turns int")
+    got = chat.canonical(frame)
+    assert [r["layout"] for r in got.orderBy("turn").collect()] == ["no-messages", "messages", "row-from-value", None, None]
+    made = chat.conversations(got).first()
+    assert made["unknown"] == 3 and [tuple(t) for t in made["turns"]] == [("user", "a"), ("assistant", "b"), ("assistant", "v")]
+    assert chat.conversations(chat.canonical(frame.limit(0))).count() == 0
 
 
 def test_chat_layouts_and_round_trip(spark):
@@ -208,7 +312,10 @@ def test_chat_layouts_and_round_trip(spark):
     turns = spark.createDataFrame([([(r, t) for t in odd for r in ("user", "assi\nst<|ant", "assistant")],)], "turns array<struct<role:string,text:string>>")
     out = turns.select("turns", chat.segments(F.col("turns")).alias("p")).select("turns", "p", chat.formatted(F.col("p")).alias("f")).select("turns", "f", chat.read_turns(F.col("f")).alias("back"), chat.loss_spans(F.col("p")).alias("spans")).first()
     assert out["turns"] == out["back"]
-    assert [out["f"][s["start"] : s["start"] + s["length"]] for s in out["spans"]] == [t.replace("\\", "\\\\").replace("<|", "<\\|") for t in odd]
+    parts = [p + "<|im_end|>\n" for p in out["f"].split("<|im_end|>\n")[:-1]]
+    assert [parts[s["turn"]][s["start"] : s["start"] + s["length"]] for s in out["spans"]] == [t.replace("\\", "\\\\").replace("<|", "<\\|") for t in odd]
+    learned = turns.select(chat.segments(F.col("turns")).alias("p")).select(chat.cut(chat.formatted(F.col("p")), chat.loss_spans(F.col("p"))).alias("x")).first()["x"]
+    assert learned == "".join(odd)
 
 
 def test_warc_archives(spark):
