@@ -15,6 +15,11 @@ def permuted(items: Column, size: int, source) -> Column:
     return F.when(blocks > 0, F.transform(at, take)).otherwise(F.slice(items, 1, 0))
 
 
+def numbers(values, kind: str = "bigint") -> Column:
+    """A table of numbers as one literal, however long: an expression for each would take the planner longer than the query."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+
+
 def block(rows: int, cols: int):
     """De-interleaves what was written by rows and read by columns."""
     return lambda j: (j % cols) * rows + F.floor(j / cols)
@@ -50,27 +55,42 @@ def sanitised(llr: Column, limit: float = 1e6) -> Column:
     return F.greatest(F.lit(-limit), F.least(F.lit(limit), F.nanvl(F.coalesce(llr, F.lit(0.0)), F.lit(0.0))))
 
 
-def crc(data: Column, width: int, poly: int, init: int, refin: bool, refout: bool, xorout: int) -> Column:
-    """The CRC of a BINARY column as BIGINT, by folding its bytes through the shift register. Width 8 to 32."""
-    mask, top = (1 << width) - 1, 1 << (width - 1)
-    octets = F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda i: F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long"))
+def wifi(n: int, per_carrier: int):
+    """De-interleaves the coded bits of one symbol of n bits, so many on a carrier."""
+    s = max(per_carrier // 2, 1)
+
+    def source(j):
+        i = (n // 16) * (j % 16) + F.floor(j / 16)
+        return s * F.floor(i / s) + (i + n - F.floor(16 * i / n)) % s
+
+    return source
+
+
+def delayed_lanes(items: Column, branches: int, step: int, phase: int = 0) -> Column:
+    """Undoes a convolutional interleaver: after so many leading items, lane b is delayed by (branches - 1 - b) * step of its own items; zeros come first."""
+    x = F.slice(items, phase + 1, F.greatest(F.size(items) - phase, F.lit(0)))
+    n = F.greatest(F.size(items) - phase, F.lit(0))
+    back = lambda t: (branches - 1 - t % branches) * (step * branches)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda t: F.when(t >= back(t), F.get(x, (t - back(t)).cast("int"))).otherwise(0))).otherwise(x)
 
-    def reflect(x: Column, n: int) -> Column:
-        out = F.lit(0).cast("long")
-        for k in range(n):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1)), n - 1 - k))
-        return out
 
-    def bit(acc: Column, _: Column) -> Column:
-        shifted = F.shiftleft(acc, 1).bitwiseAND(F.lit(mask))
-        return F.when(acc.bitwiseAND(F.lit(top)) != 0, shifted.bitwiseXOR(F.lit(poly))).otherwise(shifted)
+def register_bits(taps: tuple[int, ...], seed: int, count: int) -> list[int]:
+    """The first bits of an additive scrambler's register; taps are the exponents of its polynomial, highest first."""
+    degree, state, out = taps[0], seed, []
+    for _ in range(count):
+        place = lambda t, state=state: state >> (degree - 1 - t) & 1
+        fed = place(0)
+        out.append(fed)
+        for t in taps[1:]:
+            fed ^= place(t)
+        state = (state << 1 | fed) & ((1 << degree) - 1)
+    return out
 
-    def octet(acc: Column, b: Column) -> Column:
-        mixed = acc.bitwiseXOR(F.shiftleft(reflect(b, 8) if refin else b, width - 8))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), mixed, bit)
 
-    r = F.when(F.octet_length(data) > 0, F.aggregate(octets, F.lit(init).cast("long"), octet)).otherwise(F.lit(init).cast("long"))
-    return (reflect(r, width) if refout else r).bitwiseXOR(F.lit(xorout))
+def whitened(frame: Column, taps: tuple[int, ...], seed: int, period: int) -> Column:
+    """Each bit of a frame xor the register's, which starts anew with the frame; period: bits after which the register repeats."""
+    keys = numbers(register_bits(taps, seed, period), "int")
+    return F.transform(frame, lambda b, i: b.bitwiseXOR(F.get(keys, (i % period).cast("int"))))
 
 
 def destuffed(bits: Column) -> Column:

@@ -1,49 +1,91 @@
-"""Spectra by the DFT as a join with a small basis table, so that Catalyst plans it; for long transforms use kernels."""
+"""Spectra of long streams: frames are cut within chunks that carry a halo, and transformed by a vectorised kernel, chunk by chunk."""
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TWO_PI = 6.283185307179586
+from . import ordered
 
+#: Variance of a mean of frames that overlap by half, against independent ones.
+OVERLAP_VARIANCE = 1 + 2 * 0.0278
+MAX_CELLS, MIN_AVERAGE = 1 << 22, 8
 
-def basis(spark: SparkSession, nfft: int, bins: list[int]) -> DataFrame:
-    """k, bin, c, s: Hann window times cosine and sine; nfft * len(bins) rows."""
-    rows = []
-    for b in bins:
-        for k in range(nfft):
-            w = 0.5 - 0.5 * math.cos(TWO_PI * k / nfft)
-            rows.append((k, b, w * math.cos(TWO_PI * b * k / nfft), -w * math.sin(TWO_PI * b * k / nfft)))
-    return spark.createDataFrame(rows, "k int, bin long, c double, s double")
 
+def hann(nfft: int) -> np.ndarray:
+    return 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(nfft) / nfft)
 
-def window_power(nfft: int) -> float:
-    return sum((0.5 - 0.5 * math.cos(TWO_PI * k / nfft)) ** 2 for k in range(nfft))
 
+@dataclass(frozen=True)
+class Grid:
+    """How a stream of some frames is laid out in rows: row r has the frames from floor(r * frames / rows) on."""
 
-def frames(samples: DataFrame, nfft: int, hop: int) -> DataFrame:
-    """frame, k, x: each sample of (n, x) under the frames that hold it. The last frame may be incomplete."""
-    first = F.greatest(F.lit(0), F.floor((F.col("n") - nfft) / hop) + 1).cast("long")
-    last = F.floor(F.col("n") / hop).cast("long")
-    out = samples.withColumn("frame", F.explode(F.sequence(first, last)))
-    return out.select("frame", (F.col("n") - F.col("frame") * hop).cast("int").alias("k"), "x")
+    nfft: int
+    frames: int
+    rows: int
 
+    @property
+    def hop(self) -> int:
+        return self.nfft // 2
 
-def periodograms(samples: DataFrame, nfft: int, hop: int, bins: list[int] | None = None) -> DataFrame:
-    """frame, bin, power of complete frames of a real stream; power is density: white noise of variance v reads v."""
-    bins = list(range(nfft // 2 + 1)) if bins is None else bins
-    f = frames(samples, nfft, hop)
-    b = F.broadcast(basis(samples.sparkSession, nfft, bins))
-    out = f.join(b, "k").groupBy("frame", "bin").agg(F.sum(F.col("x") * F.col("c")).alias("re"), F.sum(F.col("x") * F.col("s")).alias("im"), F.count("*").alias("m"))
-    return out.where(F.col("m") == nfft).select("frame", "bin", ((F.col("re") ** 2 + F.col("im") ** 2) / window_power(nfft)).alias("power"))
+    def row_of(self, frame: Column) -> Column:
+        return F.floor(((frame + 1) * self.rows - 1) / self.frames).cast("long")
 
+    def first_frame(self, row: Column) -> Column:
+        return F.floor(row * self.frames / self.rows).cast("long")
 
-def spectrogram(samples: DataFrame, nfft: int, hop: int, per_row: int, bins: list[int] | None = None) -> DataFrame:
-    """row, bin: mean power of all, of even and of odd frames, by the frame's number in the stream."""
-    p = periodograms(samples, nfft, hop, bins)
+    def span(self, first: Column, last: Column) -> tuple[Column, Column]:
+        """The samples [start, stop) of rows first to last."""
+        return self.first_frame(first) * self.hop, (self.first_frame(last + 1) - 1) * self.hop + self.nfft
+
+
+def plan_grid(samples: int, nfft: int, max_cells: int = MAX_CELLS, min_average: int = MIN_AVERAGE) -> Grid | None:
+    """None if the samples don't fill min_average frames."""
+    frames = (samples - nfft) // (nfft // 2) + 1 if samples >= nfft else 0
+    if frames < min_average:
+        return None
+    per_row = max(min_average, math.ceil(frames / max(1, max_cells // nfft)))
+    return Grid(nfft, frames, max(1, frames // per_row))
+
+
+def periodograms(samples: DataFrame, nfft: int, hop: int, chunk: int = ordered.CHUNK) -> DataFrame:
+    """frame, bin, power of complete frames of a real stream (n, x), n dense; power is density: white noise of variance v reads v.
+
+    A frame belongs to the chunk that holds its first sample; what it needs
+    beyond comes as halo, so tasks have chunks, never a stream.
+    """
+    chunk = max(chunk // hop, -(-nfft // hop)) * hop
+    window = hann(nfft)
+    scale = float((window**2).sum())
+
+    def transform(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("n")
+        n, x = part["n"].to_numpy(), part["x"].to_numpy(float)
+        first = int(part["chunk"].iloc[0]) * chunk
+        starts = np.arange(first, min(first + chunk, int(n[-1]) - nfft + 2), hop)
+        if not len(starts):
+            return pd.DataFrame({"frame": [], "bin": [], "power": []}).astype({"frame": "int64", "bin": "int64", "power": float})
+        cut = np.lib.stride_tricks.sliding_window_view(x, nfft)[starts - int(n[0])]
+        power = np.abs(np.fft.rfft(cut * window, axis=1)) ** 2 / scale
+        bins = power.shape[1]
+        return pd.DataFrame({"frame": np.repeat(starts // hop, bins), "bin": np.tile(np.arange(bins), len(starts)), "power": power.ravel()})
+
+    halo = ordered.with_halo(samples.select(F.col("n").cast("long").alias("n"), F.col("x").cast("double").alias("x")), 0, nfft - hop, "n", chunk)
+    return halo.where("chunk >= 0").select("chunk", "n", "x").groupBy("chunk").applyInPandas(transform, "frame long, bin long, power double")
+
+
+def spectrogram(samples: DataFrame, nfft: int, hop: int, row_of) -> DataFrame:
+    """row, bin: mean power of all, of even and of odd frames, by the frame's number in the stream; k and k_even count them.
+
+    row_of gives a frame's row, or is the number of frames of a row.
+    """
+    p = periodograms(samples, nfft, hop)
     even = F.col("frame") % 2 == 0
-    return p.groupBy(F.floor(F.col("frame") / per_row).alias("row"), "bin").agg(F.avg("power").alias("power"), F.avg(F.when(even, F.col("power"))).alias("even"), F.avg(F.when(~even, F.col("power"))).alias("odd"), F.count("*").alias("k"))
+    row = F.floor(F.col("frame") / row_of) if isinstance(row_of, int) else row_of(F.col("frame"))
+    return p.groupBy(row.alias("row"), "bin").agg(F.avg("power").alias("power"), F.avg(F.when(even, F.col("power"))).alias("even"), F.avg(F.when(~even, F.col("power"))).alias("odd"), F.count("*").alias("k"), F.count_if(even).alias("k_even"))
 
 
 def integrate(spectra: DataFrame) -> DataFrame:
@@ -60,10 +102,34 @@ def decibel(x: Column) -> Column:
     return 10 * F.log10(x)
 
 
+def levels(power: Column, low: float, high: float) -> Column:
+    """dB on a fixed range as 0 to 255."""
+    return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint((decibel(power) - low) / (high - low) * 255))).cast("int")
+
+
 def tiles(spectra: DataFrame, low: float, high: float, level: int) -> DataFrame:
-    """row, bin, byte: dB on a fixed range as 0 to 255, then the maximum over 2 ** level rows."""
-    q = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint((decibel(F.col("power")) - low) / (high - low) * 255)))
-    return spectra.groupBy(F.shiftright("row", level).alias("row"), "bin").agg(F.max(q).cast("int").alias("byte"))
+    """row, bin, byte: the maximum over 2 ** level rows."""
+    return spectra.groupBy(F.shiftright("row", level).alias("row"), "bin").agg(F.max(levels(F.col("power"), low, high)).alias("byte"))
+
+
+def pyramid(spectra: DataFrame, low: float, high: float, rows: int) -> DataFrame:
+    """level, row, bin, byte: each level halves the rows by the maximum, down to one row. A cell goes to all levels at once, and partial maxima are shuffled."""
+    most = max(0, (max(rows, 1) - 1).bit_length())
+    x = spectra.select("row", "bin", levels(F.col("power"), low, high).alias("byte"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("level"))
+    return x.groupBy("level", F.call_function("shiftright", F.col("row"), F.col("level")).alias("row"), "bin").agg(F.max("byte").alias("byte"))
+
+
+def tile_at(cells: DataFrame, wanted: DataFrame, height: int, width: int) -> DataFrame:
+    """wanted (level, tile_row, tile_col) with cells and total: what a tile of the pyramid holds, 0 past the edge."""
+    t = cells.groupBy("level", F.floor(F.col("row") / height).alias("tile_row"), F.floor(F.col("bin") / width).alias("tile_col")).agg(F.count("*").alias("cells"), F.sum("byte").alias("total"))
+    return wanted.join(t, ["level", "tile_row", "tile_col"], "left").fillna(0, ["cells", "total"])
+
+
+def zoom(samples: DataFrame, low: float, high: float, points: int) -> DataFrame:
+    """point, re, im: the DTFT at so many frequencies from low to high, in cycles a sample; one pass, partial sums by point."""
+    f = F.lit(low) + F.col("point") * ((high - low) / max(points - 1, 1))
+    x = samples.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("turn", 2 * math.pi * f * F.col("n"))
+    return x.groupBy("point").agg(F.sum(F.col("x") * F.cos("turn")).alias("re"), F.sum(-F.col("x") * F.sin("turn")).alias("im"))
 
 
 def autocorrelation(samples: DataFrame, lags: list[int]) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,10 +144,10 @@ def grid(spark, d):
 
 @query(f"with {PSD}, n as (select bin, median(even) as level from g group by bin) select g.row, g.bin, round(even / level, 3) + 0.0 as ratio, round(odd / level, 3) + 0.0 as odd_ratio from g join n using (bin) where even / level > 2.5")
 def psd_floor_detect(spark, d):
-    g = grid(spark, d)
-    floor = spectrum.noise_floor(g, "even")
+    level = F.median("even").over(Window.partitionBy("bin"))
+    g = grid(spark, d).withColumn("level", level)
     ratio = F.col("even") / F.col("level")
-    return g.join(F.broadcast(floor), "bin").where(ratio > 2.5).select("row", "bin", r(ratio, 3).alias("ratio"), r(F.col("odd") / F.col("level"), 3).alias("odd_ratio"))
+    return g.where(ratio > 2.5).select("row", "bin", r(ratio, 3).alias("ratio"), r(F.col("odd") / F.col("level"), 3).alias("odd_ratio"))
 
 
 @query(f"with {PSD} select bin, round(avg(power), 3) + 0.0 as power, count(*) as frames from p group by bin")
@@ -247,9 +245,9 @@ def occupied_bw(spark, d):
 
 @query(f"with {IQ}, z as (select n, i - 0.5 as i, q - 0.5 as q from iq), k as (select n, p, (i - c) * (i - c) + (q - s) * (q - s) as dist from z, (values (0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)) t(p, c, s)) select n, round(min(dist) filter (p % 2 = 1) - min(dist) filter (p % 2 = 0), 12) + 0.0 as llr0, round(min(dist) filter (p >= 2) - min(dist) filter (p < 2), 12) + 0.0 as llr1 from k group by n")
 def nearest_point_llr(spark, d):
-    points = spark.createDataFrame([(0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)], "p int, c double, s double").collect()
+    points = [(0, 0.7, 0.7), (1, -0.7, 0.7), (2, 0.7, -0.7), (3, -0.7, -0.7)]
     i, q = F.col("i") - 0.5, F.col("q") - 0.5
-    dist = {x["p"]: cx.power(i - x["c"], q - x["s"]) for x in points}
+    dist = {p: cx.power(i - c, q - s) for p, c, s in points}
     best = lambda keep: F.least(*(v for p, v in dist.items() if keep(p)))
     return pairs(spark, d).select("n", r(best(lambda p: p % 2 == 1) - best(lambda p: p % 2 == 0), 12).alias("llr0"), r(best(lambda p: p >= 2) - best(lambda p: p < 2), 12).alias("llr1"))
 
@@ -309,28 +307,14 @@ def fold_contrast(spark, d):
     return s.select("vec_id", "len", r(F.when((m > 0) & (m < 1), (F.col("a") - 2 * m * F.col("b") + F.col("n") * m * m) / (m * (1 - m))).otherwise(0.0), 4).alias("contrast"))
 
 
-@query("""
-with recursive h as (select conv_id, turn, encode(left(text, 16)) as b from conversations),
-c(conv_id, turn, b, k, crc) as (
-  select conv_id, turn, b, 0, 65535 from h
-  union all
-  select conv_id, turn, b, k + 1, case when crc8 & 32768 <> 0 then xor((crc8 << 1) & 65535, 4129) else (crc8 << 1) & 65535 end
-  from (select *, case when k % 8 = 0 then xor(crc, ('0x' || substr(hex(b), 2 * (k // 8) + 1, 2))::int << 8) else crc end as crc8 from c where k < 8 * octet_length(b)))
-select conv_id, turn, cast(crc as bigint) as crc from c where k = 8 * octet_length(b)
-""")
-def crc_ccitt_false(spark, d):
-    c = table(spark, d, "conversations")
-    return c.select("conv_id", "turn", bits.crc(F.encode("text", "UTF-8"), 16, 0x1021, 0xFFFF, False, False, 0).alias("crc"))
-
-
 @query(f"with {SIGNS}, s as (select vec_id, array_to_string(b, '') as t from v) select vec_id, case when contains(t, '111111') then null else replace(t, '111110', '11111') end as bits from s")
 def hdlc_destuff(spark, d):
     return signs(spark, d).select("vec_id", bits.destuffed(text_of(F.col("b"))).alias("bits"))
 
 
-@query(f"with {SIGNS}, s as (select vec_id, array_to_string(b, '') as t from v) select vec_id, i as pos, bit_count(xor(w, 90))::int as errors from (select vec_id, i, list_sum([(substr(t, i + k + 1, 1)::int) << (7 - k) for k in range(8)])::int as w from s, range(57) r(i)) where bit_count(xor(w, 90)) <= 1 or bit_count(xor(w, 90)) >= 7")
+@query(f"with {SIGNS}, s as (select vec_id, array_to_string(b, '') as t from v) select vec_id, i as pos, bit_count(xor(w, 90))::int as errors from (select vec_id, i, list_sum([(substr(t, i + k + 1, 1)::int) << (7 - k) for k in range(8)])::int as w from (select vec_id, t, unnest(range(len(t) - 7)) as i from s)) where bit_count(xor(w, 90)) <= 1 or bit_count(xor(w, 90)) >= 7")
 def sync_hits(spark, d):
-    x = signs(spark, d).select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(56))).alias("pos"))
+    x = signs(spark, d).where(F.size("b") >= 8).select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.size("b") - 8)).alias("pos"))
     word = F.aggregate(F.slice("b", F.col("pos") + 1, 8), F.lit(0), lambda a, b: 2 * a + b)
     e = F.bit_count(word.bitwiseXOR(F.lit(90)))
     return x.select("vec_id", F.col("pos").cast("long").alias("pos"), e.alias("errors")).where((F.col("errors") <= 1) | (F.col("errors") >= 7))
@@ -367,10 +351,5 @@ def split_rollup(spark, d):
     return e.rollup("event_type", "family").agg(F.grouping_id().alias("level"), F.count("*").alias("n"), r(F.avg("value")).alias("mean"))
 
 
-def binomial_tail(n: int, k: int, p: float) -> float:
-    """P(X >= k) of a binomial, at least 1e-300."""
-    if k <= 0:
-        return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log1p(-p) for j in range(k, n + 1)]
-    top = max(logs)
-    return max(1e-300, math.exp(top) * sum(math.exp(x - top) for x in logs))
+# Queries of further modules join the same tables when they are imported.
+from . import coding, detection, estimation, results  # noqa: E402, F401
