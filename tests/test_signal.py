@@ -160,7 +160,7 @@ def test_generated_streams_do_not_depend_on_partitions(spark):
     z = (quiet["i"] + 1j * quiet["q"]).to_numpy()
     power = np.abs(np.fft.fft(z)) ** 2
     f = np.fft.fftfreq(6000)
-    assert all(power[np.abs(f - c) < 0.03].sum() > 20 * power[np.abs(f - c + 0.13) < 0.01].sum() for c in (0.1, 0.3))
+    assert all(power[np.abs(f - c) < 0.03].sum() > 20 * power[np.abs(f + 0.45) < 0.03].sum() for c in (0.1, -0.2, 0.3))
     rest = a["i"] - quiet["i"]
     assert abs(rest.std() - math.sqrt(0.5)) < 0.03 and abs(rest.mean()) < 0.04
     late = synth.impaired(synth.samples(spark, scene, 6000, 9, noisy=False), offset=0.01, dc=(0.5, 0.0), echo=(3, 0.5)).orderBy("n").toPandas()

@@ -298,7 +298,7 @@ def vita49(read: Read, size: int, name: str, block: int = 1 << 20) -> Recording:
                     datatype = ("c" if layout == 1 else "r") + name_of + ("" if bits == 8 else "_be")
                 p += width
         at += length
-    if not segments:
+    if not any(n for _, n in segments):
         raise BadHeader("no data packet")
     if datatype is not None:
         try:

@@ -1,6 +1,6 @@
 """Recordings as Spark tables: a data source whose partitions are stretches of samples, and descriptions of many files at once.
 
-    spark.dataSource.register(RecordingSource)
+    register(spark)
     spark.read.format("recording").load("/shared/take.sigmf-meta")
 
 gives n, i, q (q is null for real samples). Options: datatype for files without a
@@ -193,6 +193,8 @@ class RecordingSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the format known to a session, with filters on n handed to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingSource)
 
 
@@ -231,15 +233,19 @@ def described(files: DataFrame) -> DataFrame:
 
 
 def sequence_number(name: Column) -> Column:
-    """The last number in a file's name."""
-    return F.regexp_extract(name, r"(\d+)(?!.*\d)", 1).try_cast("long")
+    """The last number in a file's name, its extension aside."""
+    return F.regexp_extract(_stem(name), r"(\d+)(?!.*\d)", 1).try_cast("long")
+
+
+def _stem(name: Column) -> Column:
+    return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
 def numbered(files: DataFrame) -> DataFrame:
     """files (name, samples) with series, number, missing (numbers left out before it) and first, the place of its first sample in the series."""
     from pyspark.sql import Window
 
-    f = files.withColumn("number", sequence_number(F.col("name"))).withColumn("series", F.regexp_replace("name", r"\d+(?!.*\d)", "#"))
+    f = files.withColumn("number", sequence_number(F.col("name"))).withColumn("series", F.concat(F.regexp_replace(_stem(F.col("name")), r"\d+(?!.*\d)", "#"), F.regexp_extract("name", r"(\.[^.]*)$", 1)))
     w = Window.partitionBy("series").orderBy("number", "name")
     first = F.coalesce(F.sum("samples").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return f.withColumn("missing", F.coalesce(F.col("number") - F.lag("number").over(w) - 1, F.lit(0))).withColumn("first", first)
@@ -270,7 +276,7 @@ def _in_range(values: Column, kind: str, scheme: int) -> Column:
 
 def name_hints(files: DataFrame, name: str = "name") -> DataFrame:
     """name, kind, value, scheme: what a file's name says of its rate and frequency, each value once, by the surest scheme."""
-    stem = F.regexp_replace(F.lower(name), r"\.[^.]*$", "")
+    stem = _stem(F.lower(name))
     found = []
     for k, (kind, pattern) in enumerate(HINTS):
         pairs = F.arrays_zip(F.regexp_extract_all(stem, F.lit(pattern), 1).alias("x"), F.regexp_extract_all(stem, F.lit(pattern), 2).alias("u"))
