@@ -177,3 +177,17 @@ def test_generated_frames_pass_their_check(spark):
     assert (best["crc"], best["passes"], best["frames"]) == (framing.CRCS[6].name, 6, 6)
     bits = made.where("index = 2").select(synth.bits_of(F.col("frame")).alias("b"), "frame").first()
     assert "".join(map(str, bits["b"])) == "".join(f"{x:08b}" for x in bits["frame"])
+
+
+def test_runs_do_not_depend_on_chunks(spark):
+    from tidegrid.operators import ordered
+
+    rng = np.random.default_rng(8)
+    data = {k: np.repeat(rng.integers(0, 3, 60), rng.integers(1, 12, 60))[:200].tolist() for k in (1, 2)}
+    frame = spark.createDataFrame([(k, n, v) for k, x in data.items() for n, v in enumerate(x)], "key int, n long, x int")
+    got = [{tuple(r) for r in ordered.runs(frame, "key", "n", F.col("x"), 3, chunk).select("key", "start", "length", "value").collect()} for chunk in (4, 64, 1 << 16)]
+    want = set()
+    for k, x in data.items():
+        edge = [n for n in range(len(x)) if n == 0 or x[n] != x[n - 1]] + [len(x)]
+        want |= {(k, a, b - a, x[a]) for a, b in zip(edge, edge[1:]) if b - a >= 3}
+    assert got == [want] * 3

@@ -30,9 +30,20 @@ def lagged(df: DataFrame, columns: dict[str, Column], pos: str = "n", chunk: int
     return out.where("own").drop("chunk", "own")
 
 
-def runs(df: DataFrame, key: str, pos: str, value: Column, least: int) -> DataFrame:
-    """Runs of equal values of at least so many rows in each stream: key, start, length, value."""
-    w = Window.partitionBy(key).orderBy(pos)
-    marked = df.withColumn("v", value).withColumn("new", F.when(F.lag("v").over(w).eqNullSafe(F.col("v")), 0).otherwise(1))
-    run = marked.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return run.groupBy(key, "run").agg(F.min(pos).alias("start"), F.count("*").alias("length"), F.first("v").alias("value")).where(F.col("length") >= least).drop("run")
+def runs(df: DataFrame, key: str, pos: str, value: Column, least: int, chunk: int = CHUNK) -> DataFrame:
+    """Runs of equal values of at least so many rows in each stream: key, start, length, value.
+
+    Runs are cut at chunks and put together again: what a chunk begins with
+    belongs to the last run that began before it, which one row a chunk tells. So
+    no task has a stream. Nulls equal each other.
+    """
+    w = Window.partitionBy(key, "chunk").orderBy(pos)
+    x = with_halo(df.select(key, pos, value.alias("v")), 1, 0, pos, chunk)
+    x = x.withColumn("new", F.lag(F.lit(True)).over(w).isNull() | ~F.lag("v").over(w).eqNullSafe(F.col("v"))).where("own")
+    began = F.when(F.col("new"), F.col(pos))
+    parts = x.withColumn("start", F.last(began, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    parts = parts.groupBy(key, "chunk", "start").agg(F.count("*").alias("length"), F.first("v").alias("value"))
+    before = Window.partitionBy(key).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    edges = parts.groupBy(key, "chunk").agg(F.max("start").alias("last")).withColumn("carried", F.last("last", ignorenulls=True).over(before)).drop("last")
+    whole = parts.join(edges, [key, "chunk"]).withColumn("start", F.coalesce("start", "carried"))
+    return whole.groupBy(key, "start").agg(F.sum("length").alias("length"), F.first("value").alias("value")).where(F.col("length") >= least)
