@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, line_spread, mixing, pitman_yor, quality, sharding, toxicity, warc
+from . import chat, decontamination, hard_negatives, jaccard, line_spread, mixing, pitman_yor, quality, sharding, toxicity, warc
 from .common import materialise, table
 
 
@@ -212,6 +212,27 @@ def op10_lm_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+OP13_SQL = """
+with e as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label::bigint + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+a as (select * from e where vec_id % 50 = 0),
+s as (
+  select a.r as ar, a.vec_id as anchor_id, a.label = e.label as same, e.vec_id as id, e.r as er, cast(list_inner_product(a.v, e.v) as bigint) as score
+  from a join e on a.r <> e.r),
+p as (select ar, anchor_id, id as positive_id, er, score as positive_score from s where same qualify row_number() over (partition by ar order by score desc, id) <= 5),
+n as (
+  select p.anchor_id, p.positive_id, row_number() over (partition by p.ar, p.er order by s.score desc, s.id) as rank, s.id as negative_id, positive_score, s.score as negative_score
+  from p join s on p.ar = s.ar and not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
+
+
 QUERIES = {
     "op1_quality_line_frequency": op1_quality_line_frequency,
     "op2_warc_zip_reader": op2_warc_zip_reader,
@@ -223,6 +244,7 @@ QUERIES = {
     "op8_sharding_bin_packing": op8_sharding_bin_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_pitman_yor": op10_lm_pitman_yor,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
     "op1_quality_line_frequency": OP1_SQL,
@@ -232,4 +254,5 @@ ORACLES = {
     "op6_line_site_spread": OP6_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
