@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, hard_negatives, jaccard, line_spread, mixing, pitman_yor, quality, sharding, toxicity, warc
+from . import chat, decontamination, hard_negatives, jaccard, line_spread, mixing, pitman_yor, prefix_trie, quality, sharding, toxicity, warc
 from .common import materialise, table
 
 
@@ -212,6 +212,40 @@ def op10_lm_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = """
+with recursive crc(i, k, c) as (
+  select i, 0, i::bigint from range(256) t(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc where k < 8),
+tab as (select list(c order by i) as t from crc where k = 8),
+t as (
+  select conv_id, turn, octet_length(encode(coalesce(text, ''))) as size,
+         substr(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) as key
+  from conversations where conv_id is not null),
+own as (select conv_id, conv_id - conv_id % 5 as base, list(key order by turn nulls first, key, size) as ks, list(size order by turn nulls first, key, size) as ss from t group by conv_id),
+h as (
+  select own.*, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(conv_id::varchar, ''), lambda x: ascii(x)::bigint)), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 9 as h
+  from own, tab),
+seq as (
+  select h.conv_id, list_concat(coalesce(b.ks[1 : h.h], []), h.ks[h.h + 1 :]) as ks, list_concat(coalesce(b.ss[1 : h.h], []), h.ss[h.h + 1 :]) as ss
+  from h left join own b on b.conv_id = h.base),
+pre as (select conv_id, len(ks) as n, d, array_to_string(ks[1 : d], '') as path, case when d > 0 then ss[d] else 0 end as size from (select *, unnest(range(0, len(ks) + 1)) as d from seq)),
+node as (
+  select path, d, min(conv_id) as conv_id, count(*) as n, any_value(size) as size, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (n = d), '')) as ends
+  from pre group by path, d),
+kids as (select substr(path, 1, 32 * (d - 1)) as path, d - 1 as d, count(*) as kids from node where d > 0 group by all),
+known as (select node.*, coalesce(kids, 0) as kids from node left join kids using (path, d)),
+sums as (
+  select substr(path, 1, 32 * k) as path, k as d, count(*) filter (kids = 0) as leaves, sum((n - 1) * size) as saved
+  from (select *, unnest(range(0, d + 1)) as k from known) group by all)
+select known.conv_id, known.d as depth, up.conv_id as parent_conv_id, known.n as n_convs, known.kids as n_children, cast(leaves as bigint) as n_leaves, cast(saved as bigint) as saved_tokens, known.ends as ends_sha256
+from known join sums using (path, d) left join node up on known.d > 0 and up.d = known.d - 1 and up.path = substr(known.path, 1, 32 * (known.d - 1))
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -244,6 +278,7 @@ QUERIES = {
     "op8_sharding_bin_packing": op8_sharding_bin_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_pitman_yor": op10_lm_pitman_yor,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
@@ -254,5 +289,6 @@ ORACLES = {
     "op6_line_site_spread": OP6_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
