@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, hard_negatives, jaccard, line_spread, mixing, pitman_yor, prefix_trie, quality, sharding, toxicity, warc
+from . import chat, decontamination, hard_negatives, jaccard, line_spread, mixing, pitman_yor, prefix_trie, quality, sharding, suffix_dedup, toxicity, warc
 from .common import materialise, table
 
 
@@ -246,6 +246,30 @@ from known join sums using (path, d) left join node up on known.d > 0 and up.d =
 """
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, doc_id, s, substr(h, 2 * s + 1, 100) as g from (select *, unnest(range(0, len(h) // 2 - 49)) as s from d)),
+m as (select g, min(doc_id) as m from w group by g),
+hit as (select r, s from w join m using (g) where m < coalesce(doc_id, 9223372036854775807)),
+step as (select *, case when s <= lag(s) over (partition by r order by s) + 50 then 0 else 1 end as new from hit),
+island as (select *, sum(new) over (partition by r order by s) as k from step),
+span as (select r, min(s) as a, max(s) + 50 as b from island group by r, k),
+part as (select r, a, b, coalesce(lag(b) over (partition by r order by a), 0) as z from span),
+kept as (
+  select r, sum(b - a) as gone, count(*) as n, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as h
+  from part join d using (r) group by r)
+select doc_id, cast(len(d.h) // 2 as bigint) as n_bytes, cast(coalesce(gone, 0) as bigint) as n_removed, cast(coalesce(n, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(kept.h, d.h))) as kept_sha256
+from d left join kept using (r)
+"""
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -279,6 +303,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_pitman_yor": op10_lm_pitman_yor,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {
@@ -290,5 +315,6 @@ ORACLES = {
     "op7_ngram_jaccard_join": OP7_SQL,
     "op9_benchmark_decontamination": OP9_SQL,
     "op11_prefix_trie": OP11_SQL,
+    "op12_suffix_dedup": OP12_SQL,
     "op13_hard_negatives": OP13_SQL,
 }
