@@ -2,6 +2,8 @@
 
 import math
 
+import numpy as np
+
 
 def upper_gamma(shape: float, x: float) -> float:
     """The regularised upper incomplete gamma function: a series below shape + 1, a continued fraction above."""
@@ -71,3 +73,43 @@ def mean_quantile(q: float, shape: float) -> float:
 def normal_exceeded(p: float) -> float:
     """The level that a standard normal exceeds with probability p."""
     return -normal_exceeded(1 - p) if p > 0.5 else _where(p, lambda z: math.erfc(z / math.sqrt(2)) / 2, 0.0, 4.0)
+
+
+def log_beta_tail(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """ln of the regularised incomplete beta function I_x(a, b), by its continued fraction on the side where that converges fast."""
+    a, b, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float), np.asarray(x, float))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        front = p * np.log(y) + q * np.where(swap, np.log(x), np.log1p(-x)) - np.log(p) - (_log_gamma(p) + _log_gamma(q) - _log_gamma(p + q))
+    tiny = 1e-300
+    c, d = np.ones_like(y), 1 / np.where(np.abs(1 - (p + q) * y / (p + 1)) < tiny, tiny, 1 - (p + q) * y / (p + 1))
+    h = d.copy()
+    most = 200 + int(10 * math.sqrt(float(np.max(np.minimum(p + q, 1e12), initial=1.0))))
+    for m in range(1, most):
+        for t in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 + t * d
+            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+            c = 1 + t / c
+            c = np.where(np.abs(c) < tiny, tiny, c)
+            h = h * c * d
+        if np.all(np.abs(c * d - 1) < 1e-15):
+            break
+    direct = np.minimum(front + np.log(h), 0.0)
+    with np.errstate(divide="ignore"):
+        return np.where(swap, np.log1p(-np.exp(np.minimum(direct, -1e-300))), direct)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
+
+
+def log_binomial_tail(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """ln P(X >= k) for X binomial (n, p), element by element; time does not depend on n - k. 0 for k <= 0, -inf for k > n."""
+    k, n, p = np.broadcast_arrays(np.asarray(k, float), np.asarray(n, float), np.asarray(p, float))
+    out = np.zeros(k.shape)
+    inside = (k > 0) & (k <= n) & (p > 0) & (p < 1)
+    out[(k > n) | ((k > 0) & (p <= 0))] = -np.inf
+    if inside.any():
+        out[inside] = log_beta_tail(k[inside], n[inside] - k[inside] + 1, p[inside])
+    return out

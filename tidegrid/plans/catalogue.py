@@ -352,4 +352,4 @@ def split_rollup(spark, d):
 
 
 # Queries of further modules join the same tables when they are imported.
-from . import coding, detection, estimation, results  # noqa: E402, F401
+from . import blind, coding, detection, estimation, results  # noqa: E402, F401
