@@ -1,9 +1,10 @@
 """Registered queries that find a code or a check sum blind; their SQL knows what was sent."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import blind_codes, blind_sums, codes, framing, gf2
+from ..operators import alignment, bits, blind_codes, blind_sums, codes, framing, gf2, parity_codes
 from .catalogue import SIGNS, query, r, signs, table
 from .coding import _CRC, _FINAL, _SUM
 
@@ -122,3 +123,122 @@ from l join z using (crc)""")
 def crc_recover(spark, d):
     """Finds width, generator, orders and constant of each user's sum, and the published set that has them."""
     return blind_sums.recover(summed_frames(spark, d), "user_id", "n", "data").withColumn("log10_p", r(F.col("log10_p"), 4))
+
+
+# Parity-check codes
+
+
+_TC = parity_codes.telecommand(128)
+_TM = parity_codes.telemetry("1/2")
+
+
+def _masks(code) -> list[int]:
+    """For each parity bit the message bits that it sums, the first bit highest."""
+    return [int("".join(map(str, column)), 2) for column in parity_codes.parity_map(code).T]
+
+
+_WORD = "w as (select vec_id, b, list_concat(b, [bit_count((list_sum([b[i + 1]::hugeint << (63 - i) for i in range(64)]) & m)::hugeint)::int % 2 for m in MASKS]) as c from v)".replace("MASKS", f"[{', '.join(f'{m}::hugeint' for m in _masks(_TC))}]")
+
+
+def coded_words(spark, d):
+    """(vec_id, b, code): the 64 sign bits of a vector as a message of the (128, 64) code."""
+    x = signs(spark, d)
+    return x.join(parity_codes.encoded(x, "vec_id", "b", _TC), "vec_id")
+
+
+def text(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), "")
+
+
+@query(f"with {SIGNS}, {_WORD} select vec_id, array_to_string(c, '') as code from w")
+def ldpc_encode(spark, d):
+    return coded_words(spark, d).select("vec_id", text(F.col("code")).alias("code"))
+
+
+@query(f"with {SIGNS}, {_WORD}, e(c, x) as (values {', '.join(map(str, _TC.edges))}), s as (select vec_id, e.c, sum((w.c[x + 1] + (x % 29 = 7)::int) % 2) % 2 as bad from w, e group by 1, 2) select vec_id, count(*) as checks, sum(bad)::bigint as failed, round(avg(bad), 6) + 0.0 as rate from s group by 1")
+def ldpc_rate(spark, d):
+    """The share of failed checks of code words of which one bit in 29 is turned."""
+    spoilt = coded_words(spark, d).select("vec_id", F.posexplode(F.transform("code", lambda c, i: (c + F.when(i % 29 == 7, 1).otherwise(0)) % 2)).alias("pos", "bit"))
+    edges = parity_codes.edge_table(spark, (_TC,)).select("check", "var")
+    p = codes.parity_checks(spoilt, "vec_id", "pos", "bit", edges)
+    return p.groupBy("vec_id").agg(F.count("*").alias("checks"), F.sum("parity").cast("long").alias("failed"), r(F.avg("parity")).alias("rate"))
+
+
+@query(f"with {SIGNS} select vec_id, array_to_string(b, '') as bits, true as holds from v")
+def ldpc_decode(spark, d):
+    """Code words with turned and erased bits decode to the messages they were made of."""
+    soft = F.transform("code", lambda c, i: F.when(i % 31 == 3, 0.0).otherwise((1.0 - 2.0 * c) * (2.0 + (i % 5) / 5) * F.when(i % 37 == 30, -0.3).otherwise(1.0)))
+    out = parity_codes.decoded(coded_words(spark, d).select("vec_id", soft.alias("soft")), "vec_id", "soft", _TC)
+    return out.select("vec_id", text(F.col("bits")).alias("bits"), "holds")
+
+
+def _grouped(x, size: int, column: str):
+    """(stream, x): the arrays of so many consecutive vectors end to end; groups that are not full are left out."""
+    g = x.groupBy(F.floor(F.col("vec_id") / size).alias("stream")).agg(F.sort_array(F.collect_list(F.struct("vec_id", column))).alias("rows"))
+    return g.where(F.size("rows") == size).select("stream", F.flatten(F.transform("rows", lambda v: v[column])).alias("x"))
+
+
+@query("select vec_id // 16 as stream, (vec_id // 16 * 37 % 128)::int as start, 4 as blocks from embeddings where vec_id // 16 % 5 < 4 group by 1 having count(*) = 16")
+def ldpc_alignment(spark, d):
+    """Finds where code words begin; every fifth stream is sign bits as they are, in which none is found."""
+    late = (128 - F.col("stream") * 37 % 128) % 128
+    coded = _grouped(coded_words(spark, d), 16, "code").where("stream % 5 < 4").select("stream", F.slice("x", late.cast("int") + 1, F.size("x")).alias("x"))
+    x = coded.unionByName(_grouped(signs(spark, d), 16, "b").where("stream % 5 = 4"))
+    soft = F.transform("x", lambda c, i: (1.0 - 2.0 * c) * (2.0 + (i % 7) / 5) * F.when(i % 41 == 13, -0.2).otherwise(1.0))
+    return parity_codes.aligned(x.select("stream", soft.alias("soft")), "stream", "soft", _TC).select("stream", "start", "blocks")
+
+
+@query("select vec_id // 64 as stream, ((2048 - vec_id // 64 * 501 % 2048) % 2048)::int as start, case when vec_id // 64 = 0 then 3 else 2 end as blocks from embeddings group by 1, 2, 3 having count(*) = 64")
+def ldpc_alignment_punctured(spark, d):
+    """As above for a code of which a fifth of the variables is never sent: four words of 2048 bits, begun late."""
+    w = _grouped(signs(spark, d), 64, "b")
+    parts = w.select("stream", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.slice("x", k * 1024 + 1, 1024))).alias("k", "m")).withColumn("id", F.struct("stream", "k"))
+    sent = parity_codes.encoded(parts, "id", "m", _TM).select("id.stream", "id.k", "code")
+    g = sent.groupBy("stream").agg(F.sort_array(F.collect_list(F.struct("k", "code"))).alias("rows")).select("stream", F.flatten(F.transform("rows", lambda v: v["code"])).alias("x"))
+    late = (F.col("stream") * 501 % 2048).cast("int")
+    soft = F.transform(F.slice("x", late + 1, F.size("x")), lambda c, i: (1.0 - 2.0 * c) * (4.0 + (i % 7) / 5) * F.when(i % 97 == 13, -0.2).otherwise(1.0))
+    return parity_codes.aligned(g.select("stream", soft.alias("soft")), "stream", "soft", _TM).select("stream", "start", "blocks")
+
+
+# Interleavers
+
+_K7 = "c as (select vec_id // 16 as g, flatten(list(b order by vec_id)) as u from v group by 1 having count(*) = 16), k as (select g, flatten([[" + ", ".join("(" + " + ".join(f"case when i > {d} then u[i - {d}] else 0 end" for d in codes.taps(g, 7)) + ") % 2" for g in codes.K7[1]) + "] for i in range(1, len(u) + 1)]) as c from c)"
+#: Rows and columns of the test interleaver, lanes and their step.
+_ROWS, _COLUMNS_OF, _LANES, _STEP = 16, 24, 4, 2
+_SIZE = _ROWS * _COLUMNS_OF
+_RATE = "round(list_avg([(" + " + ".join([f"s[2 * (m - {d}) + 1]" for d in codes.taps(codes.K7[1][1], 7)] + [f"s[2 * (m - {d}) + 2]" for d in codes.taps(codes.K7[1][0], 7)]) + ") % 2 for m in range(6, len(s) // 2)]), 6) + 0.0 as rate"
+
+
+def _coded(spark, d):
+    return _grouped(signs(spark, d), 16, "b").select("stream", codes.encode(F.col("x")).alias("c"))
+
+
+@query(f"""
+with {SIGNS}, {_K7},
+y as (select g, [(c[(t + g * 7 % {_SIZE}) // {_SIZE} * {_SIZE} + ((t + g * 7) % {_SIZE} % {_ROWS}) * {_COLUMNS_OF} + (t + g * 7) % {_SIZE} // {_ROWS} + 1] + (t % 211 = 50)::int) % 2 for t in range(len(c) // {_SIZE} * {_SIZE} - g * 7 % {_SIZE})] as y, ({_SIZE} - g * 7 % {_SIZE}) % {_SIZE} as start from k),
+z as (select g, start, [y[start + t // {_SIZE} * {_SIZE} + (t % {_SIZE} % {_COLUMNS_OF}) * {_ROWS} + t % {_SIZE} // {_COLUMNS_OF} + 1] for t in range((len(y) - {_SIZE} + 1) // {_SIZE} * {_SIZE})] as s from y)
+select g as stream, start::int as start, 0 as phase, {_RATE} from z""")
+def interleaver_start(spark, d):
+    """Coded streams, written by rows and read by columns, begun late: where do blocks begin?"""
+    x = _coded(spark, d).select("stream", bits.permuted(F.col("c"), _SIZE, lambda j: (j % _ROWS) * _COLUMNS_OF + F.floor(j / _ROWS)).alias("y"))
+    late = (F.col("stream") * 7 % _SIZE).cast("int")
+    soft = F.transform(F.slice("y", late + 1, F.size("y")), lambda c, i: (1.0 - 2.0 * c) * F.when(i % 211 == 50, -1.0).otherwise(1.0))
+    at = np.arange(_SIZE)
+    source = (at % _COLUMNS_OF) * _ROWS + at // _COLUMNS_OF
+    out = alignment.block_start(x.select("stream", soft.alias("soft")), "stream", "soft", source)
+    return out.withColumn("rate", r(F.col("rate")))
+
+
+@query(f"""
+with {SIGNS}, {_K7},
+y as (select g, g % 7 as late, [((case when t + g % 7 >= (t + g % 7) % {_LANES} * {_LANES * _STEP} then c[t + g % 7 - (t + g % 7) % {_LANES} * {_LANES * _STEP} + 1] else 0 end) + (t % 211 = 50)::int) % 2 for t in range(len(c) - g % 7)] as y from k),
+z as (select g, late, [y[t - ({_LANES} - 1 - (t + late) % {_LANES}) * {_LANES * _STEP} + 1] for t in range({(_LANES - 1) * _LANES * _STEP}, len(y))][late % 2 + 1 :] as s from y),
+o as (select g, late, s[: least(2048, len(s) + late % 2 - 1)] as s from z)
+select g as stream, (late % {_LANES})::int as lane, (late % 2)::int as phase, {_RATE} from o""")
+def lane_start(spark, d):
+    """Coded streams over delayed lanes, begun late: which lane comes first?"""
+    at = lambda t: t - (t % _LANES) * (_LANES * _STEP)
+    x = _coded(spark, d).select("stream", F.transform("c", lambda _, t: F.when(at(t) >= 0, F.get("c", at(t).cast("int"))).otherwise(0)).alias("y"))
+    soft = F.transform(F.slice("y", (F.col("stream") % 7).cast("int") + 1, F.size("y")), lambda c, i: (1.0 - 2.0 * c) * F.when(i % 211 == 50, -1.0).otherwise(1.0))
+    out = alignment.lane_start(x.select("stream", soft.alias("soft")), "stream", "soft", _LANES, _STEP)
+    return out.withColumn("rate", r(F.col("rate")))
