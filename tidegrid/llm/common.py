@@ -49,9 +49,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """As materialise(), dealt into buckets by a key without a shuffle, so that joins on the key leave this table where it is."""
+    spark, path, own = df.sparkSession, new_path(df.sparkSession, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", path).saveAsTable(own)
+    out = spark.table(own)
+    out._written_at, out._named = path, own
+    return out
+
+
 def forget(df: DataFrame) -> None:
     """Deletes what materialise() wrote for a table that no later plan reads."""
     spark = df.sparkSession
+    if hasattr(df, "_named"):
+        spark.sql(f"drop table {df._named}")
     path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

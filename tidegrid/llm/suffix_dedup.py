@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, materialise
+from .common import bucketed, forget, materialise
 
 #: Bytes of a shard and of a piece of a long text; bytes of text for each range of hashes.
-SHARD, PIECE, RANGE = 2 << 20, 1 << 20, 32 << 20
+SHARD, PIECE, RANGE = 2 << 20, 1 << 20, 8 << 20
 SHARDS = "shard long, docs binary, data binary"
 #: One row for each piece: the text's row, its doc_id (the largest number for null), whether that is null, the piece and their number, where it starts, its own bytes and those that it shares with the next.
 DOCS = np.dtype([("uid", "<i8"), ("doc", "<i8"), ("null", "u1"), ("piece", "<i4"), ("pieces", "<i4"), ("start", "<i8"), ("own", "<i4"), ("tail", "<i4")])
@@ -74,15 +74,19 @@ def _packed(length: int):
 
 def words(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as a big-endian number; zeros follow the end, and 64 numbers more."""
-    padded = np.zeros(len(data) + 71, np.uint8)
-    padded[: len(data)] = data
-    return np.lib.stride_tricks.sliding_window_view(padded, 8).reshape(-1).view(">u8").astype(np.uint64)
+    out = np.zeros(len(data) + 71, np.uint8)
+    out[: len(data)] = data
+    for size, kind in ((1, np.uint16), (2, np.uint32), (4, np.uint64)):
+        wide = out[:-size].astype(kind)
+        wide <<= kind(8 * size)
+        wide |= out[size:]
+        out = wide
+    return out
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x * _K
-    x ^= x >> np.uint64(32)
-    return x
+    return np.bitwise_xor(x, x >> np.uint64(32), out=x)
 
 
 @functools.lru_cache(1)
@@ -106,44 +110,67 @@ class Sums:
         return _mix(_mix((self.sums[end] - self.sums[start]) * self.down[start]) + (end - start).astype(np.uint64))
 
 
-class Shard:
-    """A shard's bytes and its stretches: windows side by side with the same least hash of a gram."""
+class Packed:
+    """A shard's pieces and bytes."""
 
-    def __init__(self, row: dict, length: int) -> None:
-        self.docs, self.length = np.frombuffer(row["docs"], DOCS), length
+    def __init__(self, row: dict) -> None:
+        self.docs = np.frombuffer(row["docs"], DOCS)
         self.data = np.frombuffer(zlib.decompress(row["data"]), np.uint8)
-        sizes = self.docs["own"].astype(np.int64) + self.docs["tail"]
-        self.ends = np.cumsum(sizes)
-        self.starts = self.ends - sizes
+        self.sizes = self.docs["own"].astype(np.int64) + self.docs["tail"]
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+
+
+class Shard(Packed):
+    """A shard and its stretches: windows side by side with the same least hash of a gram."""
+
+    def __init__(self, row: dict, length: int) -> None:
+        super().__init__(row)
+        self.length, sizes = length, self.sizes
         n, gram = len(self.data), length * 16 // 25
         eight = words(self.data)
-        hashes = _mix(eight[:n])
+        hashes, spare = eight[:n] * _K, np.empty(n, np.uint64)
         for at in [*range(8, gram - 7, 8), *([gram - 8] if gram % 8 else [])]:
-            hashes = _mix(hashes ^ eight[at : at + n])
-        del eight
+            hashes ^= np.right_shift(hashes, np.uint64(32), out=spare)
+            hashes ^= eight[at : at + n]
+            hashes *= _K
+        hashes ^= np.right_shift(hashes, np.uint64(32), out=spare)
+        del eight, spare
         reach, span = length - gram + 1, 1
         while span * 2 <= reach:
             np.minimum(hashes[: n - span], hashes[span:], out=hashes[: n - span])
             span *= 2
         if reach > span:
             hashes[: n - reach + span] = np.minimum(hashes[: n - reach + span], hashes[reach - span :])
-        most = np.maximum(sizes - length + 1, 0)
-        piece = np.repeat(np.arange(len(sizes)), most)
-        where = np.arange(len(piece)) - np.repeat(np.cumsum(most) - most, most) + self.starts[piece]
-        least = hashes[where]
-        new = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (piece[1:] != piece[:-1])]) if len(least) else np.zeros(0, np.int64)
-        self.start, self.piece, self.hash = where[new], piece[new], least[new]
-        self.count = np.diff(np.r_[new, len(least)])
+        new = np.empty(n, bool)
+        new[:1] = True
+        np.not_equal(hashes[1:], hashes[:-1], out=new[1:])
+        new[self.starts[sizes > 0]] = True
+        for begin, end in zip(self.starts.tolist(), self.ends.tolist()):
+            new[max(begin, end - length + 1) : end] = False
+        self.start = np.flatnonzero(new)
+        self.piece = np.searchsorted(self.ends, self.start, side="right")
+        self.hash = hashes[self.start]
+        self.count = np.minimum(np.r_[self.start[1:], n], self.ends[self.piece] - length + 1) - self.start
         content = Sums(self.data).of(self.start, self.start + self.count + length - 1) & ~np.uint64(1)
-        self.order = np.lexsort((content, self.hash))
+        self.order = np.argsort(self.hash)
+        h = self.hash[self.order]
+        tied = np.zeros(len(h), bool)
+        tied[1:] = h[1:] == h[:-1]
+        tied[:-1] |= tied[1:]
+        tied = np.flatnonzero(tied)  # few hashes come twice, so only these are sorted by content too
+        own = self.order[tied]
+        self.order[tied] = own[np.lexsort((own, content[own], self.hash[own]))]
         h, c = self.hash[self.order], content[self.order]
         first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
         self.group = np.empty(len(h), np.int64)
         self.group[self.order] = np.cumsum(first) - 1
         at = np.flatnonzero(first)
         uid = self.docs["uid"][self.piece[self.order]]
-        many = np.minimum.reduceat(uid, at) != np.maximum.reduceat(uid, at) if len(at) else np.zeros(0, bool)
-        #: Distinct stretches in order of their hash; the lowest bit of the digest: in several texts of this shard.
+        same = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else at
+        many = np.minimum.reduceat(uid, same) != np.maximum.reduceat(uid, same) if len(same) else np.zeros(0, bool)
+        many = np.repeat(many, np.diff(np.r_[same, len(h)]))[at]
+        #: Distinct stretches in order of their hash; the lowest bit of the digest: the hash is in several texts of this shard.
         self.hashes, self.contents = h[at], c[at] | many.astype(np.uint64)
 
 
@@ -168,8 +195,8 @@ def _sent(length: int, ranges: int):
 
 STRETCHES = "part int, shard long, hashes binary, contents binary"
 FLAGS = "shard long, part int, flags binary"
-CLASSES = "part int, shard long, keys binary, checks binary, docs binary"
-SMALLER = "shard long, part int, found binary"
+CLASSES = "part int, at int, shard long, keys binary, checks binary, docs binary"
+SMALLER = "shard long, at int, windows int, found binary, docs binary"
 
 
 def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -185,11 +212,11 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = [len(r["hashes"]) // 8 for r in rows]
         h, c = (np.frombuffer(b"".join(r[n] for r in rows), np.uint64) for n in ("hashes", "contents"))
         order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
+        h, c, source = h[order], c[order], np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[order]
         at = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         bare = c & ~np.uint64(1)
         alike = np.minimum.reduceat(bare, at) == np.maximum.reduceat(bare, at)
-        several = (np.diff(np.r_[at, len(h)]) > 1) | (np.maximum.reduceat(c & np.uint64(1), at) > 0)
+        several = (np.minimum.reduceat(source, at) != np.maximum.reduceat(source, at)) | (np.maximum.reduceat(c & np.uint64(1), at) > 0)
         flags = np.empty(len(h), np.uint8)
         flags[order] = np.repeat(np.where(several, np.where(alike, 1, 2), 0), np.diff(np.r_[at, len(h)]))
         for r, own in zip(rows, np.split(flags, np.cumsum(sizes)[:-1])):
@@ -302,19 +329,44 @@ def _flags(rows) -> np.ndarray:
 
 
 def _classed(length: int, ranges: int):
-    """Each shard's classes with their smallest doc_id, by ranges of keys."""
+    """Each shard's classes with their smallest doc_id, by ranges of keys, and under a part below 0 a note for the shard itself: its windows, their reach, whether an id of the shard is smaller, and their class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _one_by_one(batches):
-            c = Classes(Shard(row, length), _flags(row["flags"]))
+            shard = Shard(row, length)
+            c = Classes(shard, _flags(row["flags"]))
+            # A window for each position of a mixed stretch, one for all of a stretch that is the same everywhere.
+            wide = np.where(c.windows[c.span] > 1, 1, shard.count[c.kept[c.span]])
+            hit = c.least[c.of] < c.doc if len(c.at) else np.zeros(0, bool)
+            note = zlib.compress(b"".join((np.diff(c.at, prepend=0).astype("<i4").tobytes(), wide.astype("<i4").tobytes(), hit.tobytes())), 1)
+            yield _batch([{"part": -1 - row["shard"] % ranges, "at": 0, "shard": row["shard"], "keys": len(c.at).to_bytes(8, "little"), "checks": note, "docs": _short(c.of, _width(c.of))}], CLASSES)
             for k, a, b in _slices(c.keys, ranges):
                 least = c.least[a:b]
-                kind = "<u4" if least.min() >= 0 and least.max() < 1 << 32 else "<i8"
-                yield _batch([{"part": k, "shard": row["shard"], "keys": c.keys[a:b].tobytes(), "checks": c.checks[a:b].tobytes(), "docs": least.astype(kind).tobytes()}], CLASSES)
+                steps = np.diff(c.keys[a:b])
+                keys = c.keys[a : a + 1].tobytes() + _short(steps, _width(steps))
+                yield _batch([{"part": k, "at": a, "shard": row["shard"], "keys": keys, "checks": _short(c.checks[a:b], 4), "docs": _short(least, _width(least))}], CLASSES)
 
     return run
 
 
+def _short(values: np.ndarray, size: int) -> bytes:
+    """The low bytes of numbers that are not below 0."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _width(values: np.ndarray) -> int:
+    """Bytes that the largest of some numbers needs; 8 if one is below 0."""
+    return 8 if len(values) and values.min() < 0 else max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+
+
+def _long(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, "<u8")
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(n, -1)
+    return out.reshape(-1).view("<u8")
+
+
 def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
@@ -343,16 +395,21 @@ def merged(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.nda
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each shard the classes that have a smaller doc_id elsewhere."""
+    """For each shard the classes that have a smaller doc_id elsewhere; a shard's note is passed on, with its number of windows."""
     for part, rows in _together(batches):
+        if part < 0:
+            for r in rows:
+                yield _batch([{"shard": r["shard"], "at": 0, "windows": int.from_bytes(r["keys"], "little"), "found": r["checks"], "docs": r["docs"]}], SMALLER)
+            continue
         runs = []
         for r in rows:
-            n = len(r["keys"]) // 8
-            runs.append((np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["checks"], np.uint64), np.frombuffer(r["docs"], "<u4" if len(r["docs"]) == 4 * n else "<i8").astype(np.int64)))
+            n = len(r["checks"]) // 4
+            keys = np.cumsum(np.r_[np.frombuffer(r["keys"], "<u8", 1), _long(r["keys"][8:], n - 1)], dtype=np.uint64)
+            runs.append((keys, _long(r["checks"], n), _long(r["docs"], n).view(np.int64)))
         for r, run, least in zip(rows, runs, merged(runs)):
-            found = np.flatnonzero(least < run[2])
-            if len(found):
-                yield _batch([{"shard": r["shard"], "part": part, "found": found.astype("<i4").tobytes() + least[found].astype("<i8").tobytes()}], SMALLER)
+            found = least < run[2]
+            if found.any():
+                yield _batch([{"shard": r["shard"], "at": r["at"], "windows": None, "found": np.packbits(found).tobytes(), "docs": _short(least[found], _width(least[found]))}], SMALLER)
 
 
 PIECES = "uid long, doc_id long, piece int, pieces int, at long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -363,24 +420,33 @@ def _spans(covered: np.ndarray) -> list[dict]:
     return [{"start": a, "end": b} for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
 
 
-def _cut(length: int, ranges: int):
+class Note:
+    """What a shard noted of its windows, with the smaller ids that other shards had."""
+
+    def __init__(self, rows) -> None:
+        note = next(r for r in rows if r["windows"] is not None)
+        n, data = note["windows"], zlib.decompress(note["found"])
+        step, self.wide = (np.frombuffer(data, "<i4", n, 4 * n * k) for k in (0, 1))
+        self.at, self.hit = np.cumsum(step, dtype=np.int64), np.frombuffer(data, bool, n, 8 * n)
+        self.of = _long(note["docs"], n).view(np.int64)
+        self.least = np.full(int(self.of.max(initial=-1)) + 1, LAST)
+        for r in rows:
+            if r["windows"] is None:
+                found = np.flatnonzero(np.unpackbits(np.frombuffer(r["found"], np.uint8)))
+                self.least[r["at"] + found] = _long(r["docs"], len(found)).view(np.int64)
+
+
+def _cut(length: int):
     """The texts without what is covered; of a text in pieces each piece with all its bytes and the spans that begin in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _one_by_one(batches):
-            s = Shard(row, length)
-            c = Classes(s, _flags(row["flags"]))
-            parts = {k: a for k, a, _ in _slices(c.keys, ranges)}
-            for r in row["smaller"] or []:
-                n = len(r["found"]) // 12
-                c.least[parts[r["part"]] + np.frombuffer(r["found"][: 4 * n], "<i4")] = np.frombuffer(r["found"][4 * n :], "<i8")
+            s, note = Packed(row), Note(row["notes"])
             covered = np.zeros(len(s.data) + 1, np.int32)
-            if len(c.kept):
-                hit = c.least[c.of] < c.doc
-                # A window for each position of a mixed stretch, one for all of a stretch that is the same everywhere.
-                wide = np.where(c.windows[c.span] > 1, 1, s.count[c.kept[c.span]])
-                np.add.at(covered, c.at[hit], 1)
-                np.add.at(covered, c.at[hit] + wide[hit] + length - 1, -1)
+            doc = s.docs["doc"][np.searchsorted(s.ends, note.at, side="right")]
+            hit = note.hit | (note.least[note.of] < doc)
+            np.add.at(covered, note.at[hit], 1)
+            np.add.at(covered, note.at[hit] + note.wide[hit] + length - 1, -1)
             covered, data, out, size = np.cumsum(covered[:-1]) > 0, s.data.tobytes(), [], 0
             for d, a, b in zip(s.docs, s.starts.tolist(), s.ends.tolist()):
                 own = a + int(d["own"])
@@ -426,8 +492,9 @@ def remove_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
     """
     spark = documents.sparkSession
     packed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    shards = materialise(packed.mapInArrow(_packed(length), SHARDS), "repeat-shards")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Shards stay in their buckets through both joins; only what they are told is shuffled.
+    shards = bucketed(packed.mapInArrow(_packed(length), SHARDS), "repeat-shards", "shard", parts)
     total = shards.agg(F.sum(F.octet_length("data"))).first()[0] or 0
     ranges = max(parts, 3 * total // RANGE)  # compressed to about a third
 
@@ -438,8 +505,8 @@ def remove_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
     flags = flags.groupBy("shard").agg(F.collect_list(F.struct("part", "flags")).alias("flags"))
     held = shards.join(flags, "shard", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<struct<part:int,flags:binary>>")))
     smaller = materialise(dealt(held.mapInArrow(_classed(length, ranges), CLASSES)).mapInArrow(_searched, SMALLER), "repeat-smaller")
-    smaller = smaller.groupBy("shard").agg(F.collect_list(F.struct("part", "found")).alias("smaller"))
-    done = materialise(held.join(smaller, "shard", "left").mapInArrow(_cut(length, ranges), PIECES), "repeat-pieces")
+    notes = smaller.groupBy("shard").agg(F.collect_list(F.struct("at", "windows", "found", "docs")).alias("notes"))
+    done = materialise(shards.join(notes, "shard").mapInArrow(_cut(length), PIECES), "repeat-pieces")
     forget(shards)
     whole = done.where("pieces = 1").select("doc_id", "n_bytes", "spans", "kept")
     long = done.where("pieces > 1").repartition("uid").sortWithinPartitions("uid", "piece").mapInArrow(_joined, DONE)
