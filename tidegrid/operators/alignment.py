@@ -110,3 +110,72 @@ def lane_start(streams: DataFrame, key: str, soft: str, lanes: int, step: int, b
     candidates = lambda x: np.arange(2 * lanes if len(x) > lag + 64 else 0)
     best = coarse_to_fine(streams, key, soft, candidates, score(rough), score(bits), keep)
     return best.select(key, F.floor(F.col("candidate") / 2).cast("int").alias("lane"), (F.col("candidate") % 2).alias("phase"), F.col("score").alias("rate"))
+
+
+# Reed-Solomon words in a stream of bits
+
+
+def _octets(hard: np.ndarray, offset: int) -> np.ndarray:
+    n = (len(hard) - offset) // 8
+    return np.packbits(hard[offset : offset + 8 * n])
+
+
+def _silent(data: np.ndarray, points: list[int], size: int, words: int) -> np.ndarray:
+    """For each start modulo the size, how many of the first words' values at the points are 0.
+
+    A value is a difference of running sums over powers of the point, so a start costs one step, not a word.
+    """
+    exp, log = codes.field_tables(codes.RS_FIELD)
+    out, starts = np.zeros(size, np.int64), np.arange(size)
+    n = len(data)
+    for x in points:
+        down = exp[(-int(log[x]) * np.arange(n)) % 255]
+        terms = np.where(data == 0, 0, exp[(log[data] + log[down]) % 255])
+        sums = np.concatenate([[0], np.bitwise_xor.accumulate(terms)])
+        for w in range(words):
+            end = starts + (w + 1) * size
+            fits = end <= n
+            out += fits & (sums[np.minimum(end, n)] == sums[np.minimum(starts + w * size, n)])
+    return out
+
+
+def word_start(streams: DataFrame, key: str, soft: str, screen: int = 4, points: int = 8, keep: int = 3, size: int = 255) -> DataFrame:
+    """key, start: the bit at which words of `size` bytes begin in each stream.
+
+    All 8 * size starts are screened by the values at a few roots over `screen` words, the `keep` best decode all
+    their words, and the start with most decoded words stays, if there is one. Streams of less than two words are left out.
+    """
+    at = codes.roots()
+
+    def coarse(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+        hard = (x < 0).astype(np.uint8)
+        found = np.stack([_silent(_octets(hard, o)[: (screen + 1) * size].astype(np.int64), at[:points], size, screen) for o in range(8)])
+        return -found[some % 8, some // 8].astype(float)
+
+    def fine(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+        hard, out = (x < 0).astype(np.uint8), np.zeros(len(some))
+        for k, start in enumerate(some.tolist()):
+            data = _octets(hard, start)
+            words = data[: len(data) // size * size].reshape(-1, size)
+            _, errors = codes.rs_mended(words) if len(words) else (words, np.zeros(0))
+            # Decoded words first, then fewer wrong bytes; a word has at most 16.
+            out[k] = -float((errors >= 0).sum()) + float(errors[errors >= 0].sum()) / (17.0 * max(1, len(words)))
+        return out
+
+    candidates = lambda x: np.arange(8 * size) if len(x) >= 16 * size else np.arange(0)
+    best = coarse_to_fine(streams, key, soft, candidates, coarse, fine, keep).where("score < 0")
+    return best.select(key, F.col("candidate").alias("start"))
+
+
+def interleave_depth(streams: DataFrame, key: str, data: str, most: int = 5, size: int = 255) -> DataFrame:
+    """key, depth, words: how many words of `size` bytes take turns in each stream of bytes that begins with a first byte, by how many decode; the smaller depth on ties. Streams in which none does are left out."""
+
+    def words(x: np.ndarray, depth: int) -> np.ndarray:
+        n = len(x) // (size * depth)
+        return x[: n * size * depth].astype(np.int64).reshape(n, size, depth).transpose(0, 2, 1).reshape(-1, size)
+
+    def score(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+        return np.array([-float((codes.rs_mended(w)[1] >= 0).sum()) if len(w := words(x, d)) else 0.0 for d in some.tolist()])
+
+    best = coarse_to_fine(streams, key, data, lambda x: np.arange(1, most + 1) if len(x) >= size else np.arange(0), score, score, most).where("score < 0")
+    return best.select(key, F.col("candidate").alias("depth"), (-F.col("score")).cast("int").alias("words"))

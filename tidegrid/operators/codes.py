@@ -194,71 +194,91 @@ def rs_parity(data: np.ndarray, at: list[int], poly: int = RS_FIELD) -> np.ndarr
     return rest
 
 
-def _solve(matrix: np.ndarray, right: np.ndarray, poly: int) -> np.ndarray | None:
-    """The solution of a square system over the field by elimination, or None if it has not exactly one."""
-    exp, log = field_tables(poly)
-    a = np.concatenate([matrix, right[:, None]], axis=1)
-    for k in range(len(a)):
-        found = np.flatnonzero(a[k:, k])
-        if not len(found):
-            return None
-        p = k + found[0]
-        a[[k, p]] = a[[p, k]]
-        a[k] = _times(a[k], np.full(a.shape[1], exp[255 - log[a[k, k]]]), poly)
-        other = np.arange(len(a)) != k
-        a[other] ^= _times(a[other, k][:, None], a[k][None, :], poly)
-    return a[:, -1]
+def rs_values(words: np.ndarray, points: np.ndarray, poly: int = RS_FIELD) -> np.ndarray:
+    """Rows of bytes, highest power first, as polynomials at some points."""
+    s = np.zeros((len(words), len(points)), np.int64)
+    for column in words.T:
+        s = _times(s, points[None, :], poly) ^ column[:, None]
+    return s
+
+
+def _evaluate(coefficients: np.ndarray, at: np.ndarray, poly: int) -> np.ndarray:
+    """Rows of coefficients, lowest power first, at the same points for each row."""
+    out = np.zeros((len(coefficients), len(at)), np.int64)
+    for c in coefficients.T[::-1]:
+        out = _times(out, at[None, :], poly) ^ c[:, None]
+    return out
 
 
-def rs_correct(word: np.ndarray, count: int = RS_ROOTS, first: int = RS_FIRST_ROOT, power: int = RS_ROOT_POWER, poly: int = RS_FIELD) -> tuple[np.ndarray, int]:
-    """A word with up to count / 2 wrong bytes put right, and how many; -1 and the word as it came if that can't be.
-
-    The locator is the solution of the syndromes' linear recurrence of the least
-    order that has one; its roots among the positions give the places, a second
-    system the values.
+def _locators(s: np.ndarray, poly: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shortest linear recurrence of each row of syndromes, and its order (Berlekamp and Massey, all rows at once)."""
+    exp, log = field_tables(poly)
+    rows, count = s.shape
+    now = np.zeros((rows, count + 1), np.int64)
+    now[:, 0] = 1
+    old, order, gap, last = now.copy(), np.zeros(rows, np.int64), np.ones(rows, np.int64), np.ones(rows, np.int64)
+    each, places = np.arange(rows)[:, None], np.arange(count + 1)[None, :]
+    for k in range(count):
+        off = np.bitwise_xor.reduce(_times(now[:, : k + 1], s[:, k::-1][:, : k + 1] if k else s[:, :1], poly), axis=1)
+        some = off != 0
+        back = places - gap[:, None]
+        moved = np.where(back >= 0, old[each, np.maximum(back, 0)], 0)
+        factor = np.where(some, exp[(log[off] - log[last]) % 255], 0)
+        new = now ^ _times(moved, factor[:, None], poly)
+        longer = some & (2 * order <= k)
+        old = np.where(longer[:, None], now, old)
+        last, gap = np.where(longer, off, last), np.where(longer, 1, gap + 1)
+        order = np.where(longer, k + 1 - order, order)
+        now = new
+    return now, order
+
+
+def rs_mended(words: np.ndarray, count: int = RS_ROOTS, first: int = RS_FIRST_ROOT, power: int = RS_ROOT_POWER, poly: int = RS_FIELD) -> tuple[np.ndarray, np.ndarray]:
+    """Words (rows of at most 255 bytes) with up to count / 2 wrong bytes put right, and how many; -1 and the word as it came if that can't be.
+
+    Places are the roots of the locator among the positions, values follow from its derivative (Forney).
     """
     exp, _ = field_tables(poly)
-    points, n = np.array(roots(count, first, power, poly)), len(word)
-    s = np.zeros(count, np.int64)
-    for b in word:
-        s = _times(s, points, poly) ^ b
-    if not s.any():
-        return word, 0
-    places = np.array([int(exp[power * (n - 1 - j) % 255]) for j in range(n)])
-    for v in range(count // 2, 0, -1):  # the order is that of the first system which is not singular
-        found = _solve(np.array([[s[i + j] for j in range(v)] for i in range(v)]), s[v : 2 * v].copy(), poly)
-        if found is not None:
-            break
-    else:
-        return word, -1
-    value = np.zeros(n, np.int64)
-    for c in [1, *found[::-1]]:  # the polynomial whose roots are the places
-        value = _times(value, places, poly) ^ c
-    at = np.flatnonzero(value == 0)
-    if len(at) != v:
-        return word, -1
-    powers = np.ones((v, v), np.int64)
-    start = np.array([int(exp[power * (n - 1 - j) * first % 255]) for j in at])
-    for i in range(1, v):
-        powers[i] = _times(powers[i - 1], places[at], poly)
-    wrong = _solve(_times(powers, start[None, :], poly), s[:v].copy(), poly)
-    if wrong is None:
-        return word, -1
-    out = word.copy()
-    out[at] ^= wrong
-    check = np.zeros(count, np.int64)
-    for b in out:
-        check = _times(check, points, poly) ^ b
-    return (out, v) if not check.any() else (word, -1)
+    words = np.asarray(words, np.int64)
+    points, n = np.array(roots(count, first, power, poly)), words.shape[1]
+    s = rs_values(words, points, poly)
+    out, errors = words.copy(), np.zeros(len(words), np.int64)
+    bad = np.flatnonzero(s.any(axis=1))
+    if not len(bad):
+        return out, errors
+    locator, order = _locators(s[bad], poly)
+    exponent = power * (n - 1 - np.arange(n))
+    inverse = exp[-exponent % 255]
+    at = _evaluate(locator, inverse, poly) == 0
+    fits = (at.sum(axis=1) == order) & (order <= count // 2)
+    top = np.zeros((len(bad), count), np.int64)
+    for k in range(count):
+        top[:, k:] ^= _times(locator[:, : count - k], s[bad][:, k : k + 1], poly)
+    slope = np.where(np.arange(1, count + 1) % 2 == 1, locator[:, 1:], 0)
+    low = _evaluate(slope, inverse, poly)
+    high = _evaluate(top, inverse, poly)
+    log = field_tables(poly)[1]
+    value = np.where((high == 0) | (low == 0), 0, exp[(log[high] - log[low] + exponent[None, :] * (1 - first)) % 255])
+    mended = words[bad] ^ np.where(at, value, 0)
+    fits &= ~rs_values(mended, points, poly).any(axis=1)
+    out[bad[fits]], errors[bad] = mended[fits], np.where(fits, order, -1)
+    return out, errors
+
+
+def rs_correct(word: np.ndarray, count: int = RS_ROOTS, first: int = RS_FIRST_ROOT, power: int = RS_ROOT_POWER, poly: int = RS_FIELD) -> tuple[np.ndarray, int]:
+    out, errors = rs_mended(np.asarray(word)[None, :], count, first, power, poly)
+    return out[0], int(errors[0])
 
 
 def corrected(words: DataFrame, key: str, word: str) -> DataFrame:
-    """key, word, errors: each row's code word put right."""
+    """key, word, errors: each row's code word put right, words of one length together."""
 
     def run(batches):
         for batch in batches:
-            got = [rs_correct(np.asarray(w, np.int64)) for w in batch[word]]
-            yield pd.DataFrame({key: batch[key], "word": [w.tolist() for w, _ in got], "errors": [e for _, e in got]})
+            sizes = batch[word].map(len)
+            for _, part in batch.groupby(sizes):
+                got, errors = rs_mended(np.stack(part[word].to_list()))
+                yield pd.DataFrame({key: part[key], "word": got.tolist(), "errors": errors})
 
     return words.select(key, word).mapInPandas(run, f"{key} {words.schema[key].dataType.simpleString()}, word array<int>, errors int")
 

@@ -2,9 +2,12 @@
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import log_binomial_tail
 from .bits import numbers
 
 
@@ -163,23 +166,14 @@ def on_grid(hits: DataFrame, periods: DataFrame, lengths: DataFrame, key: str, p
     return f.select(key, "index", F.col(pos).alias("start"), F.when(whole, F.col("period")).otherwise(F.col("length") - F.col(pos)).alias("bits"), F.when(whole, "complete").otherwise("truncated").alias("status"))
 
 
-def log_factorials(spark, most: int) -> DataFrame:
-    """k, lf: ln k! for 0 to most, a table for the driver to make; most is the largest count of a test, not of rows."""
-    import math
+def binomial_tails(tests: DataFrame) -> DataFrame:
+    """tests (id, n, k, p) with tail = P(X >= k), at least 1e-300, whatever the size of the counts. 0 < p < 1."""
 
-    return spark.createDataFrame([(k, math.lgamma(k + 1)) for k in range(most + 1)], "k long, lf double")
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(1e-300, np.exp(log_binomial_tail(k.to_numpy(float), n.to_numpy(float), p.to_numpy(float)))))
 
-
-def binomial_tails(tests: DataFrame, most: int) -> DataFrame:
-    """tests (id, n, k, p) with tail = P(X >= k), at least 1e-300; by a sum over a table of log factorials. 0 < p < 1."""
-    lf = F.broadcast(log_factorials(tests.sparkSession, most))
-    j = tests.withColumn("j", F.explode(F.sequence(F.greatest("k", F.lit(0)), F.col("n"))))
-    for name, at in (("a", F.col("n")), ("b", F.col("j")), ("c", F.col("n") - F.col("j"))):
-        j = j.join(lf.select(F.col("k").alias(f"k{name}"), F.col("lf").alias(name)), at == F.col(f"k{name}"))
-    log = F.col("a") - F.col("b") - F.col("c") + F.col("j") * F.log("p") + (F.col("n") - F.col("j")) * F.log1p(-F.col("p"))
-    s = j.withColumn("log", log).groupBy("id", "n", "k", "p").agg(F.max("log").alias("top"), F.collect_list("log").alias("logs"))
-    total = F.aggregate("logs", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("top")))
-    return s.select("id", "n", "k", "p", F.greatest(F.lit(1e-300), F.when(F.col("k") <= 0, 1.0).otherwise(F.exp(F.col("top") + F.log(total)))).alias("tail"))
+    return tests.select("id", "n", "k", "p", tail("k", "n", "p").alias("tail"))
 
 
 def column_counts(frames: DataFrame, key: str, bits: str) -> DataFrame:

@@ -242,3 +242,55 @@ def lane_start(spark, d):
     soft = F.transform(F.slice("y", (F.col("stream") % 7).cast("int") + 1, F.size("y")), lambda c, i: (1.0 - 2.0 * c) * F.when(i % 211 == 50, -1.0).otherwise(1.0))
     out = alignment.lane_start(x.select("stream", soft.alias("soft")), "stream", "soft", _LANES, _STEP)
     return out.withColumn("rate", r(F.col("rate")))
+
+
+# Reed-Solomon streams
+
+
+def _rs_words(spark, d):
+    """(doc_id, words): each text that fills four blocks of 223 bytes, every block with its check bytes; bytes 7, 57, 107 ... of odd words are changed."""
+    import pandas as pd
+
+    def add(batches):
+        for batch in batches:
+            out = []
+            for text_ in batch["data"]:
+                data = np.frombuffer(text_, np.uint8)[: len(text_) // 223 * 223].reshape(-1, 223).astype(np.int64)
+                words = np.concatenate([data, codes.rs_parity(data, codes.roots())], axis=1)
+                words[1::2, 7::50] ^= 0x5A
+                out.append(words.ravel().astype(np.uint8).tobytes())
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "words": out})
+
+    t = table(spark, d, "documents").where(F.octet_length("text") >= 892).select("doc_id", F.encode("text", "UTF-8").alias("data"))
+    return t.mapInPandas(add, "doc_id long, words binary")
+
+
+@query("select doc_id, ((2040 - doc_id * 37 % 2040) % 2040)::int as start from documents where octet_length(encode(text)) >= 892")
+def rs_stream(spark, d):
+    """Streams of code words, begun late by some bits: where does a word begin?"""
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def soft(words: pd.Series, late: pd.Series) -> pd.Series:
+        return pd.Series([(1.0 - 2.0 * np.unpackbits(np.frombuffer(w, np.uint8))[k:]) for w, k in zip(words, late)])
+
+    x = _rs_words(spark, d).select("doc_id", soft("words", F.col("doc_id") * 37 % 2040).alias("soft"))
+    return alignment.word_start(x, "doc_id", "soft")
+
+
+@query("select doc_id, (1 + doc_id % 3)::int as depth, (octet_length(encode(text)) // 223 // (1 + doc_id % 3) * (1 + doc_id % 3))::int as words from documents where octet_length(encode(text)) >= 892")
+def rs_depth(spark, d):
+    """Streams in which up to three code words take turns byte by byte: how many?"""
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def mixed(words: pd.Series, depth: pd.Series) -> pd.Series:
+        out = []
+        for w, k in zip(words, depth):
+            data = np.frombuffer(w, np.uint8)
+            n = len(data) // (255 * k)
+            out.append(data[: n * 255 * k].reshape(n, k, 255).transpose(0, 2, 1).ravel().astype(float))
+        return pd.Series(out)
+
+    x = _rs_words(spark, d).select("doc_id", mixed("words", 1 + F.col("doc_id") % 3).alias("data"))
+    return alignment.interleave_depth(x, "doc_id", "data")

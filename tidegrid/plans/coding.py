@@ -276,8 +276,7 @@ def cut_frames(spark, d):
 @query("with t as (select user_id as id, count(*) as n, count(*) filter (value > 400) as k from events group by 1), j as (select id, n, k, unnest(range(greatest(k, 0), n + 1)) as j from t) select id, n, k, round(log10(greatest(1e-300, case when k <= 0 then 1.0 else sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.15) + (n - j) * ln(0.85))) end)), 5) + 0.0 as log_tail from j group by 1, 2, 3")
 def binomial_tail(spark, d):
     t = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 400).alias("k"))
-    most = t.agg(F.max("n")).first()[0] or 0
-    return framing.binomial_tails(t.withColumn("p", F.lit(0.15)), most).select("id", "n", "k", r(F.log10("tail"), 5).alias("log_tail"))
+    return framing.binomial_tails(t.withColumn("p", F.lit(0.15))).select("id", "n", "k", r(F.log10("tail"), 5).alias("log_tail"))
 
 
 _SIGN = "s as (select event_id as n, case when value > 250 then 1 else -1 end as x from events)"
@@ -301,8 +300,7 @@ def column_constancy(spark, d):
     """Columns whose bits are alike more often than chance allows, by the two-sided binomial test."""
     x = signs(spark, d).select((F.col("vec_id") % 10).alias("key"), "b")
     c = framing.column_counts(x, "key", "b").withColumn("id", F.struct("key", "col"))
-    most = c.agg(F.max("rows")).first()[0] or 0
-    t = framing.binomial_tails(c.select("id", F.col("rows").alias("n"), F.greatest("ones", F.col("rows") - F.col("ones")).alias("k"), F.lit(0.5).alias("p")), most)
+    t = framing.binomial_tails(c.select("id", F.col("rows").alias("n"), F.greatest("ones", F.col("rows") - F.col("ones")).alias("k"), F.lit(0.5).alias("p")))
     out = c.join(t.select("id", "tail"), "id").withColumn("p", F.least(F.lit(1.0), 2 * F.col("tail"))).where("p <= 0.1")
     return out.select("key", F.col("col").cast("long").alias("col"), "rows", F.col("ones").cast("long").alias("ones"), r(F.col("p"), 8).alias("p"))
 

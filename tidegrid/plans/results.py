@@ -116,8 +116,7 @@ def bonferroni_accept(spark, d):
 def chain_p_value(spark, d):
     """The chance that so many frames pass an eight-bit check by luck."""
     t = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(F.col("event_id") % 61 == 0).alias("k"))
-    most = t.agg(F.max("n")).first()[0] or 0
-    return framing.binomial_tails(t.withColumn("p", F.lit(1 / 256)), most).select("id", "n", "k", r(F.log10("tail"), 5).alias("log_p"))
+    return framing.binomial_tails(t.withColumn("p", F.lit(1 / 256))).select("id", "n", "k", r(F.log10("tail"), 5).alias("log_p"))
 
 
 _LEVELS = "['UNKNOWN', 'HYPOTHESIS', 'ESTIMATED', 'MEASURED', 'VERIFIED']"
