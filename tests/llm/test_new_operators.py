@@ -241,3 +241,19 @@ def test_key_orders_as_the_method_says():
 def test_levels(spark):
     out = spark.createDataFrame([([0.1, -0.1, 1e30],)], "v array<float>").select(hard_negatives.levels(F.col("v")).alias("v")).first()["v"]
     assert out == [25, -26, 2**63 - 1]
+
+
+def test_extra_columns_through_the_stages(spark):
+    """Input columns that have names of columns which the stages make."""
+    from tidegrid.llm import decontamination, jaccard, mixing, quality
+
+    names = ["s", "cut", "whole", "source_size", "target", "draw", "bin", "size", "row", "hash", "spans", "text_md5", "host", "kept", "class_id", "n"]
+    words = " ".join(f"w{i} x{i}" for i in range(40))
+    rows = [(i, f"{words} own{i} {'z ' * i}", "en", f"s{i % 3}" if i % 5 else None, i, *range(len(names))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    bench = spark.createDataFrame([(1, "nothing of the kind stands here at all today or ever")], "item_id long, text string")
+    for made in (quality.cleaned(frame), jaccard.keep_one(frame), decontamination.remove_documents(frame, bench), decontamination.remove_spans(frame, bench), mixing.apply(frame)):
+        assert made.columns == frame.columns and made.count() > 0
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(frame).collect()}
+    got = mixing.apply(frame).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in got} == {k: v for k, v in copies.items() if v}

@@ -100,9 +100,9 @@ def apply(documents: DataFrame, seed: str = "mix", **options) -> DataFrame:
 
     Copies depend on doc_id and source only, so no text is shuffled: the plan of
     the sources goes to the documents. Null texts, sources and ids, repeated
-    rows and empty tables are as in mix().
+    rows and empty tables are as in mix(). Columns with names of the plan's do no harm.
     """
-    plan = _plan(documents, seed, **options)[1]
-    joined = documents.withColumn("__draw", _draw(seed)).join(plan, F.col("source").eqNullSafe(F.col("s")))
-    joined = joined.withColumn("__copies", (F.col("whole") + F.when(F.col("__draw") < F.col("cut"), 1).otherwise(0)).cast("int"))
+    plan = _plan(documents, seed, **options)[1].select(*(F.col(c).alias(f"__{c}") for c in ("s", "whole", "cut")))
+    joined = documents.withColumn("__draw", _draw(seed)).join(plan, F.col("source").eqNullSafe(F.col("__s")))
+    joined = joined.withColumn("__copies", (F.col("__whole") + F.when(F.col("__draw") < F.col("__cut"), 1).otherwise(0)).cast("int"))
     return joined.where(F.col("__copies") > 0).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*documents.columns)
