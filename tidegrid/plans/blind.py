@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import alignment, bits, blind_codes, blind_sums, codes, framing, gf2, parity_codes
+from ..operators import alignment, bits, blind_codes, blind_frames, blind_sums, codes, framing, gf2, parity_codes
 from .catalogue import SIGNS, query, r, signs, table
 from .coding import _CRC, _FINAL, _SUM
 
@@ -294,3 +294,53 @@ def rs_depth(spark, d):
 
     x = _rs_words(spark, d).select("doc_id", mixed("words", 1 + F.col("doc_id") % 3).alias("data"))
     return alignment.interleave_depth(x, "doc_id", "data")
+
+
+# Frames
+
+#: The test frames: sync word, counter, a constant byte, the sign bits of a vector.
+_FRAME_WORD, _FRAME_BYTE, _FRAME_BITS = 0x1ACFFC1D, 0xA7, 120
+
+
+def framed_streams(spark, d):
+    """(rec, n, x): 128 frames for each 128 vectors, begun late, one bit in 211 turned."""
+    fixed = lambda value, width: F.array(*(F.lit(value >> (width - 1 - k) & 1) for k in range(width)))
+    count = F.transform(F.sequence(F.lit(15), F.lit(0), F.lit(-1)), lambda k: F.call_function("shiftright", F.col("vec_id") % 128, k).bitwiseAND(F.lit(1)).cast("int"))
+    v = signs(spark, d).select("vec_id", F.concat(fixed(_FRAME_WORD, 32), count, fixed(_FRAME_BYTE, 8), "b").alias("f"))
+    s = _grouped(v, 128, "f").select(F.col("stream").alias("rec"), F.posexplode(F.slice("x", (F.col("stream") * 17 % _FRAME_BITS).cast("int") + 1, F.size("x"))).alias("n", "bit"))
+    return s.select("rec", F.col("n").cast("long").alias("n"), (1 - 2 * ((F.col("bit") + F.when(F.col("n") % 211 == 50, 1).otherwise(0)) % 2)).alias("x"))
+
+
+_FRAMED = f"""
+{SIGNS}, f as (select vec_id // 128 as g, vec_id, list_concat([({_FRAME_WORD} >> (31 - k)) & 1 for k in range(32)], [(vec_id % 128 >> (15 - k)) & 1 for k in range(16)], [({_FRAME_BYTE} >> (7 - k)) & 1 for k in range(8)], b) as f from v),
+s as (select g, flatten(list(f order by vec_id)) as x from f group by 1 having count(*) = 128),
+y as (select g, [(x[i + 1 + g * 17 % {_FRAME_BITS}] + (i % 211 = 50)::int) % 2 for i in range(len(x) - g * 17 % {_FRAME_BITS})] as y, ({_FRAME_BITS} - g * 17 % {_FRAME_BITS}) % {_FRAME_BITS} as start from s)"""
+
+
+@query(f"""
+with {_FRAMED},
+r as (select g, start, len(y) // {_FRAME_BITS} as rows, unnest(range(len(y) // {_FRAME_BITS} // 2, len(y) // {_FRAME_BITS})) as row, y from y),
+e as (select g, start, rows, row, list_sum([(y[row * {_FRAME_BITS} + (start + k) % {_FRAME_BITS} + 1] <> ({_FRAME_WORD} >> (31 - k)) & 1)::int for k in range(32)]) as errors from r)
+select g as rec, {_FRAME_BITS} as period, start, lpad(bin({_FRAME_WORD}), 32, '0') as word, rows, count(*) as held, count(*) filter (errors <= 4) as hits from e group by all""")
+def blind_sync(spark, d):
+    """Frame length and sync word of streams of which nothing is known."""
+    out = blind_frames.sync(framed_streams(spark, d))
+    return out.select("rec", F.col("period").cast("int").alias("period"), F.col("start").cast("long").alias("start"), text(F.col("word")).alias("word"), "rows", "held", "hits")
+
+
+@query("select vec_id // 128 as rec, 'counter 32 16 1,constant 48 8 167,variable 56 8 -' as fields from embeddings group by 1 having count(*) = 128")
+def blind_fields(spark, d):
+    """The fields behind the sync word: a counter, a constant, and where the payload begins."""
+    from ..functions.shared import settled
+
+    s = settled(framed_streams(spark, d))
+    found = settled(blind_frames.sync(s))
+    fields = blind_frames.header_fields(blind_frames.frames(s, found), found)
+    one = lambda f: F.concat_ws(" ", f["kind"], f["start"], f["width"], F.coalesce(f["value"], f["step"]).cast("string"), F.when(f["kind"] == "variable", "-"))
+    return fields.select("rec", F.array_join(F.transform("fields", one), ",").alias("fields"))
+
+
+@query(f"with {_FRAMED}, l as (select *, unnest([24, 60, 119, 120, 121, 240, 479]) as lag from y) select g as rec, lag::bigint as lag, list_sum([(1 - 2 * y[i]) * (1 - 2 * y[i + lag]) for i in range(1, len(y) - lag + 1)])::bigint as r from l")
+def lag_sums(spark, d):
+    """Correlations of a stream with itself, from the transforms of its chunks."""
+    return blind_frames.lag_sums(framed_streams(spark, d), 512, 2048).where(F.col("lag").isin(24, 60, 119, 120, 121, 240, 479))
