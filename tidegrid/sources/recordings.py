@@ -4,7 +4,8 @@
     spark.read.format("recording").load("/shared/take.sigmf-meta")
 
 gives n, i, q (q is null for real samples). Options: datatype for files without a
-header, chunk (samples of a partition), swap_iq, member (the place in an archive).
+header, chunk (samples of a partition), swap_iq, member (the place in an archive),
+offset and length (one region of the file, in bytes, in place of what its header says).
 Filters on n leave out whole partitions. Files are reached by their address
 through pyarrow's file systems, so the folder has to be one that all executors see.
 """
@@ -99,6 +100,18 @@ def stretches(recording: Recording, path: str, chunk: int, swap_iq: bool = False
     return out
 
 
+def region(recording: Recording, path: str, offset: int, length: int | None = None) -> Recording:
+    """The recording with one region of its file for its samples: whole samples from a byte on, to the end of the file if no length is given."""
+    files, at = files_of(recording.file or path)
+    size = files.get_file_info(at).size or 0
+    if offset < 0 or offset > size or length is not None and (length < 0 or offset + length > size):
+        raise BadHeader(f"the region from {offset} on does not lie in the file's {size} bytes")
+    width = formats.parse(recording.datatype).sample_bytes if recording.datatype else 1
+    bytes_ = size - offset if length is None else length
+    recording.segments = [(offset, bytes_ - bytes_ % width)]
+    return recording
+
+
 class RecordingReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.options = options["path"], options
@@ -117,6 +130,8 @@ class RecordingReader(DataSourceReader):
     def partitions(self) -> list[Stretch]:
         o = self.options
         found = opened(self.path, o.get("datatype"))[int(o.get("member", 0))]
+        if "offset" in o or "length" in o:
+            found = region(found, self.path, int(o.get("offset", 0)), int(o["length"]) if "length" in o else None)
         return stretches(found, self.path, int(o.get("chunk", CHUNK)), str(o.get("swap_iq", "false")).lower() == "true", self.low, self.high)
 
     def read(self, part: Stretch) -> Iterator[pa.RecordBatch]:
@@ -229,6 +244,24 @@ def described(files: DataFrame) -> DataFrame:
     return files.select("path").mapInPandas(run, DESCRIBED)
 
 
+def samples(found: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """path, member, n, i, q: the samples of all recordings of a table as described() gives it, in one job; those without a datatype or with an error give none."""
+    pieces = F.sequence(F.lit(0).cast("long"), F.floor((F.col("samples") - 1) / chunk).cast("long"))
+    rows = found.where("error is null and datatype is not null and samples > 0").select("path", "member", F.explode(pieces).alias("k"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, member, k in zip(*(batch.column(c).to_pylist() for c in ("path", "member", "k"))):
+                reader = RecordingReader({"path": path, "member": member, "chunk": chunk})
+                reader.low, reader.high = k * chunk, (k + 1) * chunk - 1
+                for part in reader.partitions():
+                    for own in reader.read(part):
+                        here = pa.array(np.zeros(own.num_rows, np.int32))
+                        yield pa.RecordBatch.from_arrays([pa.array([path]).take(here), pa.array([member], pa.int32()).take(here), *own.columns], names=["path", "member", "n", "i", "q"])
+
+    return rows.repartition("path", "k").mapInArrow(run, "path string, member int, " + SCHEMA)
+
+
 # Names
 
 
