@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codes, framing
+from tidegrid.operators import codes, framing
 
 TURN = 2 * math.pi
 

@@ -150,7 +150,7 @@ def test_flagship_returns_rows(spark):
 
 
 def test_generated_streams_do_not_depend_on_partitions(spark):
-    from tidegrid.operators import synth
+    import synth
 
     scene = spark.createDataFrame([(1, "QPSK", 1000, 4000, 0.125, 0.1, 1.0), (2, "2FSK", 0, 6000, 0.05, -0.2, 0.8), (3, "tone", 2000, 3000, 0.1, 0.3, 0.5)], "id int, kind string, start long, length long, rate double, centre double, level double")
     a = synth.samples(spark, scene, 6000, 9).orderBy("n").toPandas()
@@ -169,7 +169,7 @@ def test_generated_streams_do_not_depend_on_partitions(spark):
 
 
 def test_generated_frames_pass_their_check(spark):
-    from tidegrid.operators import synth
+    import synth
 
     rows = spark.createDataFrame([(1, k, f"payload number {k}") for k in range(6)], "key int, index int, text string").withColumn("data", F.encode("text", "UTF-8"))
     made = synth.frames(rows, "data", framing.SYNC_WORDS[0][1], framing.CRCS[6])

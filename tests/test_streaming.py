@@ -47,3 +47,21 @@ def test_frames_across_files(spark, tmp_path):
         whole = spectrum.periodograms(spark.createDataFrame(list(enumerate(x.tolist())), "n long, x double"), 32, 16).toPandas().sort_values(["frame", "bin"])
         mine = got[got["rec_id"] == rec]
         assert mine["frame"].tolist() == whole["frame"].tolist() and np.allclose(mine["power"], whole["power"])
+
+
+def test_lost_samples_hold_nothing_up(spark, tmp_path):
+    """Samples 20 to 29 never come: with more than the bound waiting, the stream goes on behind them."""
+    n = np.array([*range(20), *range(30, 100)])
+    x = np.where(n < 60, 1.0, 2.0)
+    parts = [pd.DataFrame({"rec_id": 1, "n": n[a:b], "x": x[a:b]}) for a, b in ((0, 15), (15, 40), (40, 90))]
+    got = drain(spark, tmp_path, parts, lambda s: stateful.runs(s, 4, most=25), stateful.RUN, "gaps")
+    rows = [(r.rec_id, r.start, r.length, None if np.isnan(r.value) else r.value) for r in got.itertuples(index=False)]
+    assert rows == [(1, 0, 20, 1.0), (1, 20, 10, None), (1, 30, 30, 1.0)]
+    frames = drain(spark, tmp_path, parts, lambda s: stateful.periodograms(s, 8, 4, most=25), stateful.FRAME, "gap_frames")
+    assert sorted(set(frames["frame"])) == [0, 1, 2, 3, *range(8, 24)]
+
+
+def test_waiting_samples_are_sorted_once():
+    part = pd.DataFrame({"n": [7, 3, 4, 4, 9], "x": [7.0, 3.0, 0.0, 4.0, 9.0]})
+    ready, ns, xs = stateful._in_order(iter([part]), 3, [5], [5.0])
+    assert ready.tolist() == [3.0, 4.0, 5.0] and ns.tolist() == [7, 9] and xs.tolist() == [7.0, 9.0]

@@ -49,11 +49,16 @@ def runs(df: DataFrame, key: str, pos: str, value: Column, least: int, chunk: in
     return whole.groupBy(key, "start").agg(F.sum("length").alias("length"), F.first("value").alias("value")).where(F.col("length") >= least)
 
 
-def counted(df: DataFrame, key: str, pos: str, flag: Column, name: str, chunk: int = CHUNK) -> DataFrame:
-    """Adds how many rows of the stream up to and with this one have the flag: counts in chunks, and one row a chunk that tells what came before."""
-    x = df.withColumn("__chunk", F.floor(F.col(pos) / chunk)).withColumn("__one", F.when(flag, 1).otherwise(0).cast("long"))
+def running(df: DataFrame, key: str, pos: str, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds the sum of a value over the stream up to and with this row: sums in chunks, and one row a chunk that tells what came before."""
+    x = df.withColumn("__chunk", F.floor(F.col(pos) / chunk)).withColumn("__one", value)
     before = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = x.groupBy(key, "__chunk").agg(F.sum("__one").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
     own = Window.partitionBy(key, "__chunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = x.withColumn("__here", F.sum("__one").over(own)).join(sums, [key, "__chunk"])
     return x.withColumn(name, F.col("__here") + F.col("__before")).drop("__chunk", "__one", "__here", "__before")
+
+
+def counted(df: DataFrame, key: str, pos: str, flag: Column, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Adds how many rows of the stream up to and with this one have the flag."""
+    return running(df, key, pos, F.when(flag, 1).otherwise(0).cast("long"), name, chunk)

@@ -17,10 +17,12 @@ def deinterleave_forney(spark, d):
     return signs(spark, d).select("vec_id", text_of(bits.delayed_lanes(F.col("b"), 4, 2, 1)).alias("bits"))
 
 
-@query("with recursive s(pos, state) as (select 0, 255 union all select pos + 1, ((state << 1) & 255) | xor(xor(state >> 7, state & 1), xor((state >> 2) & 1, (state >> 4) & 1)) from s where pos < 254) select pos, state >> 7 as bit from s")
+@query("with recursive s(pos, state) as (select 0, 255 union all select pos + 1, ((state << 1) & 255) | xor(xor(state >> 7, state & 1), xor((state >> 2) & 1, (state >> 4) & 1)) from s where pos < 254), k as (select list(state >> 7 order by pos) as x from s) select vec_id, array_to_string([x[(vec_id * len(embedding) + i) % 255 + 1] for i in range(len(embedding))], '') as bits from embeddings, k")
 def lfsr_sequence(spark, d):
-    sequence = bits.register_bits((8, 7, 5, 3), 0xFF, 255)
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, sequence))).alias("pos", "bit"))
+    """The stretch of a running scrambler's sequence that belongs to each vector of a stream."""
+    sequence = bits.numbers(bits.register_bits((8, 7, 5, 3), 0xFF, 255), "int")
+    at = lambda i: ((F.col("vec_id") * F.size("embedding") + i) % 255).cast("int")
+    return table(spark, d, "embeddings").select("vec_id", text_of(F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.get(sequence, at(i)))).alias("bits"))
 
 
 @query(f"with recursive s(pos, state) as (select 0, 255 union all select pos + 1, ((state << 1) & 255) | xor(xor(state >> 7, state & 1), xor((state >> 2) & 1, (state >> 4) & 1)) from s where pos < 254), k as (select list(state >> 7 order by pos) as x from s), {SIGNS} select vec_id, array_to_string([xor(b[i], x[(i - 1) % 255 + 1]) for i in range(1, len(b) + 1)], '') as bits from v, k")
@@ -240,12 +242,14 @@ def sync_hits_stream(spark, d):
     return framing.stream_hits(words, framing.SYNC_WORDS[0][1], 8)
 
 
-@query("with w(width, errors) as (values (32, 3), (24, 2), (64, 3), (16, 0)), e as (select width, errors, unnest(range(errors + 1)) as e from w), c as (select width, errors, exp(lgamma(width + 1) - lgamma(e + 1) - lgamma(width - e + 1)) as c from e) select width::int as width, errors::int as errors, round(log10(sum(round(c)) / pow(2, width)), 6) + 0.0 as log_chance from c group by c.width, c.errors")
+@query("with w(width, errors) as (values (32, 3), (24, 2), (64, 3), (16, 0)), e as (select width, errors, unnest(range(errors + 1)) as e from w), c as (select width, errors, exp(lgamma(width + 1) - lgamma(e + 1) - lgamma(width - e + 1)) as c from e), h as (select width, errors, sum(round(c.c)) / pow(2, any_value(width)) as chance from c group by width, errors), n as (select user_id, count(*) as places from events group by 1) select user_id, width::int as width, errors::int as errors, round(log10(places * chance), 6) + 0.0 as log_hits from n, h")
 def hit_chance(spark, d):
-    """The chance that a random position matches a word of so many bits with so many errors."""
-    w = spark.createDataFrame([(32, 3), (24, 2), (64, 3), (16, 0)], "width int, errors int").withColumn("e", F.explode(F.sequence(F.lit(0), F.col("errors"))))
-    c = F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(1.0), lambda a, i: F.when(i <= F.col("e"), a * (F.col("width") - F.col("e") + i) / i).otherwise(a))
-    return w.withColumn("c", F.round(c)).groupBy("width", "errors").agg(r(F.log10(F.sum("c") / F.pow(F.lit(2.0), F.col("width")))).alias("log_chance"))
+    """How many hits of a word of so many bits with so many errors chance brings at the places of each user's stream."""
+    words = F.explode(F.array(*(F.struct(F.lit(w).alias("width"), F.lit(e).alias("errors")) for w, e in ((32, 3), (24, 2), (64, 3), (16, 0)))))
+    n = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("places")).select("user_id", "places", words.alias("w")).select("user_id", "places", "w.*")
+    ways = lambda e: F.aggregate(F.sequence(F.lit(1), F.lit(8)), F.lit(1.0), lambda a, i: F.when(i <= e, a * (F.col("width") - e + i) / i).otherwise(a))
+    total = F.aggregate(F.sequence(F.lit(0), F.col("errors")), F.lit(0.0), lambda a, e: a + F.round(ways(e)))
+    return n.select("user_id", "width", "errors", r(F.log10(F.col("places") * total / F.pow(F.lit(2.0), F.col("width")))).alias("log_hits"))
 
 
 _HITS = f"{USERS}, hits as (select rec_id, n from u where x < 100), gap as (select rec_id, n, n - lag(n) over (partition by rec_id order by n) as gap from hits), g as (select rec_id, gap, count(*) as pairs, min(n) as seen from gap where gap is not null group by 1, 2)"

@@ -196,10 +196,10 @@ def timing_block_phase(spark, d):
 
 @query(f"with {_TIMING}, u as (select block, tau, tau - lag(tau) over (order by block) as step from b), v as (select block, tau - sum(case when abs(step) > 0.5 then round(step) else 0 end) over (order by block rows unbounded preceding) as tau from u) select case when count(*) > 1 then round(regr_slope(tau, block), 6) + 0.0 end as drift, case when count(*) > 1 then round(regr_intercept(tau, block), 6) + 0.0 end as start, count(*) as blocks from v")
 def timing_trend(spark, d):
-    """The drift of the symbol instants: block phases unwrapped, and a straight line through them. One row for each block."""
-    w = Window.orderBy("block")
-    u = timing_block_phase(spark, d).withColumn("step", F.col("tau") - F.lag("tau").over(w))
-    v = u.withColumn("tau", F.col("tau") - F.sum(F.when(F.abs("step") > 0.5, F.round("step")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """The drift of the symbol instants: block phases unwrapped in chunks, and a straight line through them."""
+    u = ordered.lagged(timing_block_phase(spark, d), {"before": F.col("tau")}, "block").withColumn("step", F.col("tau") - F.col("before")).withColumn("one", F.lit(0))
+    turns = F.when(F.abs("step") > 0.5, F.round("step")).otherwise(0.0)
+    v = ordered.running(u, "one", "block", turns, "turns").withColumn("tau", F.col("tau") - F.col("turns"))
     return v.agg(r(F.regr_slope("tau", "block")).alias("drift"), r(F.regr_intercept("tau", "block")).alias("start"), F.count("*").alias("blocks"))
 
 
