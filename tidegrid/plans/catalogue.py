@@ -352,4 +352,4 @@ def split_rollup(spark, d):
 
 
 # Queries of further modules join the same tables when they are imported.
-from . import blind, coding, detection, estimation, lines, paging, recordings, results, shift_keying  # noqa: E402, F401
+from . import blind, channel, coding, detection, estimation, lines, paging, recordings, results, shift_keying  # noqa: E402, F401
