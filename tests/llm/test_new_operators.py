@@ -257,3 +257,16 @@ def test_extra_columns_through_the_stages(spark):
     copies = {r["doc_id"]: r["copies"] for r in mixing.mix(frame).collect()}
     got = mixing.apply(frame).groupBy("doc_id").count().collect()
     assert {r["doc_id"]: r["count"] for r in got} == {k: v for k, v in copies.items() if v}
+
+
+@pytest.mark.parametrize("texts, lines", [(200_000, 1_000_000), (0, 0)])
+def test_cleaning_is_the_same_by_broadcast_and_shuffle(spark, monkeypatch, texts, lines):
+    from tidegrid.llm import quality
+
+    monkeypatch.setattr(quality, "BROADCAST_TEXTS", texts)
+    monkeypatch.setattr(quality, "BROADCAST_LINES", lines)
+    own = [" ".join(chr(97 + i // 26) + chr(97 + i % 26) + "q" + chr(97 + j // 26) + chr(97 + j % 26) for j in range(60)) for i in range(30)]
+    rows = [(i, f"{own[i]}\nshare this page", "a", i, 0) for i in range(30)] + [(50, "too short", "a", 1, 0), (None, None, None, 2, 0), (51, own[3], "b", 3, 0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, line int")
+    got = sorted((r["doc_id"], r["text"]) for r in quality.cleaned(frame).collect())
+    assert got == sorted([(i, own[i] + ("\nshare this page" if not i else "")) for i in range(30)] + [(51, own[3])])

@@ -25,6 +25,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 DIGITS = re.compile(rb"[0-9]+")
 NO_HOST = "\x00none"
+#: Rejected texts, and lines that go from other texts, up to which their table is broadcast.
+BROADCAST_TEXTS, BROADCAST_LINES = 200_000, 1_000_000
 FACTS = "doc_id bigint, host string, text_md5 string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, line_hashes array<bigint>, line_words array<bigint>"
 
 
@@ -175,6 +177,12 @@ def cleaned(documents: DataFrame, host: str = "source", **limits) -> DataFrame:
     known = materialise(facts(documents, host), "line-facts")
     judged = judge(known, **limits).where(~F.col("kept") | F.col("removed_lines").isNotNull())
     found = judged.groupBy(F.col("host").alias("__host"), F.col("text_md5").alias("__md5")).agg(F.first("kept").alias("__kept"), F.first("removed_lines").alias("__lines"))
+    found = materialise(found, "line-verdicts")
+    # Most texts are in neither table and stay where they are while these are small; beyond that the joins are shuffled.
+    size = found.agg(F.count_if(~F.col("__kept")).alias("texts"), F.coalesce(F.sum(F.when(F.col("__kept"), F.size("__lines") + 1)), F.lit(0)).alias("lines")).first()
+    gone, lost = found.where(~F.col("__kept")).select("__host", "__md5"), found.where("__kept").select("__host", "__md5", "__lines")
+    gone = F.broadcast(gone) if size["texts"] <= BROADCAST_TEXTS else gone
+    lost = F.broadcast(lost) if size["lines"] <= BROADCAST_LINES else lost
     keyed = documents.withColumn("__host", host_key(host)).withColumn("__md5", text_md5())
-    kept = keyed.join(found, ["__host", "__md5"], "left").where(F.coalesce("__kept", F.lit(True)))
+    kept = keyed.join(gone, ["__host", "__md5"], "left_anti").join(lost, ["__host", "__md5"], "left")
     return kept.select(*documents.columns, "__lines").mapInArrow(_cut, documents.schema)
