@@ -113,3 +113,46 @@ def log_binomial_tail(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray
     if inside.any():
         out[inside] = log_beta_tail(k[inside], n[inside] - k[inside] + 1, p[inside])
     return out
+
+
+def log_poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """ln P(X >= k) for X Poisson of a mean, element by element, far into the tail; 0 for k <= 0, -inf for a mean of 0 and k > 0."""
+    k, mean = np.broadcast_arrays(np.asarray(k, float), np.asarray(mean, float))
+    out = np.zeros(k.shape)
+    out[(k > 0) & (mean <= 0)] = -np.inf
+    some = np.flatnonzero((k > 0) & (mean > 0))
+    a, x = k.ravel()[some], mean.ravel()[some]
+    flat = out.ravel()
+    # P(X >= k) is the lower incomplete gamma function: its series from the first term where terms fall, else one less the rest.
+    far = x < a + 1
+    term = np.ones(far.sum())
+    total, n, b, y = term.copy(), 0, a[far], x[far]
+    while len(term) and n < 100_000 and np.any(term > total * 1e-17):
+        n += 1
+        term = term * y / (b + n)
+        total += term
+    flat[some[far]] = np.minimum(0.0, b * np.log(y) - y - _log_gamma(b + 1) + np.log(total))
+    near = ~far
+    if near.any():
+        below = np.array([upper_gamma(float(s), float(v)) for s, v in zip(a[near], x[near])])
+        flat[some[near]] = np.log1p(-np.minimum(below, 1.0))
+    return flat.reshape(k.shape)
+
+
+def log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """ln of the number of ways to choose k of n; -inf outside."""
+    n, k = np.broadcast_arrays(np.asarray(n, float), np.asarray(k, float))
+    inside = (k >= 0) & (k <= n)
+    m, j = np.where(inside, n, 0), np.where(inside, k, 0)
+    return np.where(inside, _log_gamma(m + 1) - _log_gamma(j + 1) - _log_gamma(m - j + 1), -np.inf)
+
+
+def log_sum(values: np.ndarray) -> float:
+    """ln of the sum of exponentials; -inf for none."""
+    top = float(np.max(values, initial=-np.inf))
+    return top if not np.isfinite(top) else top + math.log(float(np.sum(np.exp(np.asarray(values) - top))))
+
+
+def log_block_bound(length: int, distance: int, checks: int) -> float:
+    """ln of a bound on the chance that a random word of so many bits lies within a distance of a code word of a code with so many checks: a ball about each code word."""
+    return min(0.0, log_sum(log_choose(np.full(distance + 1, length), np.arange(distance + 1))) - checks * math.log(2))

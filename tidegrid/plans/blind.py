@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import alignment, bits, blind_codes, blind_frames, blind_sums, codes, framing, gf2, parity_codes
 from .catalogue import SIGNS, query, r, signs, table
-from .coding import _CRC, _FINAL, _SUM
+from .coding import _CRC, _SUM
 
 
 # Matrices over GF(2)

@@ -257,3 +257,36 @@ def run_phases(spark, d):
     at = F.unix_timestamp(F.col("ts").cast("timestamp"))
     t = table(spark, d, "events").withColumn("took", F.lead(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - at)
     return t.groupBy("user_id").agg(F.count("took").alias("phases"), F.coalesce(F.sum("took"), F.lit(0)).alias("seconds"), F.coalesce(F.max("took"), F.lit(0)).alias("longest"))
+
+
+# Tails in logarithms
+
+
+@query("with t as (select user_id, count(*) filter (value > 400) + user_id % 9 as k, 0.05 * count(*) as mean from events group by 1), j as (select *, unnest(range(k, k + 400)) as j from t), s as (select user_id, k, mean, max(j * ln(mean) - mean - lgamma(j + 1)) as top, list(j * ln(mean) - mean - lgamma(j + 1)) as x from j group by all) select user_id, k, round(case when k <= 0 then 0.0 else (top + ln(list_sum([exp(y - top) for y in x]))) / ln(10) end, 5) + 0.0 as log_p from s")
+def poisson_tail(spark, d):
+    """How unlikely so many events beyond a level are for a Poisson law, in powers of ten."""
+    import pandas as pd
+
+    from ..functions.special import log_poisson_tail
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series(log_poisson_tail(k.to_numpy(float), mean.to_numpy(float)))
+
+    t = table(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("value") > 400) + F.col("user_id") % 9).alias("k"), (0.05 * F.count("*")).alias("mean"))
+    return t.select("user_id", "k", r(tail("k", "mean") / F.log(F.lit(10.0)), 5).alias("log_p"))
+
+
+@query("with t as (select user_id, 16 + user_id % 48 as length, user_id % 7 as distance from events group by 1), j as (select *, unnest(range(distance + 1)) as j from t) select user_id, length, distance, round(least(0.0, log10(sum(exp(lgamma(length + 1) - lgamma(j + 1) - lgamma(length - j + 1)))) - length / 2.0 * log10(2)), 6) + 0.0 as log_bound from j group by user_id, length, distance")
+def block_bound(spark, d):
+    """The bound on the chance that random bits lie so near a code word of half as many checks as bits."""
+    import pandas as pd
+
+    from ..functions.special import log_block_bound
+
+    @F.pandas_udf("double")
+    def bound(length: pd.Series, distance: pd.Series) -> pd.Series:
+        return pd.Series([log_block_bound(int(n), int(k), n / 2) for n, k in zip(length, distance)])
+
+    t = table(spark, d, "events").select("user_id").distinct().select("user_id", (16 + F.col("user_id") % 48).alias("length"), (F.col("user_id") % 7).alias("distance"))
+    return t.select("*", r(bound("length", "distance") / F.log(F.lit(10.0))).alias("log_bound"))
