@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import settled
 from . import codes
 
 Scorer = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -22,6 +23,7 @@ def coarse_to_fine(streams: DataFrame, key: str, soft: str, candidates: Callable
     """
     kind = streams.schema[key].dataType.simpleString()
     x = streams.select(key, F.col(soft).cast("array<double>").alias("soft"))
+    x = settled(x.repartition(x.sparkSession.sparkContext.defaultParallelism, key))
 
     def scored(score: Scorer, given: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,5 +179,7 @@ def interleave_depth(streams: DataFrame, key: str, data: str, most: int = 5, siz
     def score(x: np.ndarray, some: np.ndarray) -> np.ndarray:
         return np.array([-float((codes.rs_mended(w)[1] >= 0).sum()) if len(w := words(x, d)) else 0.0 for d in some.tolist()])
 
-    best = coarse_to_fine(streams, key, data, lambda x: np.arange(1, most + 1) if len(x) >= size else np.arange(0), score, score, most).where("score < 0")
+    # The first two words of each turn tell most depths apart; depths that tie there are counted on all words.
+    rough = lambda x, some: score(x[: 2 * most * size], some) / np.maximum(1, np.minimum(2 * most, len(x) // size) // some * some)
+    best = coarse_to_fine(streams, key, data, lambda x: np.arange(1, most + 1) if len(x) >= size else np.arange(0), rough, score, 2).where("score < 0")
     return best.select(key, F.col("candidate").alias("depth"), (-F.col("score")).cast("int").alias("words"))
