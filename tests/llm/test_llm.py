@@ -133,6 +133,31 @@ def test_keep_one_decides_by_row(spark):
     assert got == sorted([(1, WORDS), rows[1], (5, "lone text"), (3, None), (3, None), (4, "")], key=str)
 
 
+def last_shuffles(plan) -> list[int]:
+    """Rows of each shuffle that the last stage of an adaptive plan reads."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "ShuffleQueryStageExec":
+        return [plan.shuffle().metrics().apply("shuffleRecordsWritten").value()]
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind == "ResultQueryStageExec" else [*map(plan.children().apply, range(plan.children().size()))]
+    return [n for x in below for n in last_shuffles(x)]
+
+
+def test_keep_one_shuffles_few_of_the_texts_that_stay(spark):
+    """However small the broadcast limit is, most texts that stay are not shuffled."""
+    near = [WORDS + f" w60 e{i}" for i in range(40)]
+    rows = [*enumerate([*(f"t{i} " * 3 + f"u{i} v{i} x{i}" for i in range(2000)), *near]), (2000, near[0]), (7, "t7 t7 t7 u7 v7 x7"), (None, None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = kept.collect()
+        moved = last_shuffles(kept._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted((tuple(r) for r in got), key=str) == sorted([*rows[:2001], (None, None)], key=str)
+    assert moved and sum(moved) < 1000
+
+
 def test_light_and_heavy_sets_link(spark):
     base = [f"v{i}" for i in range(18)]
     texts = [" ".join(base[:n]) for n in (3, 4, 5, 8, 9, 12, 13, 14, 17, 18)]

@@ -352,12 +352,17 @@ def _tester(test, reader):
     return run
 
 
-def tested(pairs: DataFrame, sets: DataFrame, test, reader) -> DataFrame:
-    """The pairs (a, b) that pass a test of both rows (id, n, held), held as the reader reads it. A pivot's pairs are split into groups of about GROUP."""
+def tested(pairs: DataFrame, sets: DataFrame, test, reader, names: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) that pass a test of both rows (id, n, held), held as the reader reads it. A pivot's pairs are split into groups of about GROUP.
+
+    With names (id, set_id) the sets go by set_id: what is asked is renamed, as it is smaller than what the sets hold.
+    """
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"))
     ask = salted.select("a", "salt", F.col("b").alias("id"), F.lit(True).alias("other")).unionByName(salted.select("a", "salt").distinct().select("a", "salt", F.col("a").alias("id"), F.lit(False).alias("other")))
-    rows = ask.join(sets.select("id", "n", "held"), "id").select("a", "salt", "other", "id", "n", "held")
+    if names is not None:
+        ask = ask.join(names, "id")
+    rows = ask.join(sets, "id" if names is None else "set_id").select("a", "salt", "other", "id", "n", "held")
     return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "other").mapInArrow(_tester(test, reader), "a long, b long")
 
 
@@ -463,12 +468,28 @@ def _passing(shared, size: int):
     return run
 
 
+def maybe_in(keys: DataFrame, key: str):
+    """A column function: may this number be a key? False is certain; about one stranger in sixteen gets True. Only the number goes to Python, not the rest of the row."""
+    shared, size = filter_of(keys, key)
+
+    @F.arrow_udf("boolean")
+    def known(h: pa.Array) -> pa.Array:
+        bits, at = shared.value, h.to_numpy(zero_copy_only=False) & (size - 1)
+        return pa.array((bits[at >> 3] >> (at & 7)) & 1 == 1)
+
+    return lambda of: known(F.xxhash64(of))
+
+
 def signs_of(signed: DataFrame, inside: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """id, n and one column of what was signed for the ids; other sets are left out before anything is shuffled."""
     wanted = materialise(inside.select("id", "set_id").join(ids.distinct(), "id"), "shingle-wanted")
+    return signed_for(signed, wanted, column).join(wanted, "set_id").select("id", "n", column)
+
+
+def signed_for(signed: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """set_id, n and one column of what was signed, once for each set: the sets wanted and some strangers."""
     rows = signed.select("set_id", "n", column, F.xxhash64("set_id").alias("h"))
-    rows = rows.mapInArrow(_passing(*filter_of(wanted, "set_id")), rows.schema).drop("h")
-    return rows.join(wanted, "set_id").dropDuplicates(["id", "set_id"]).select("id", "n", column)
+    return rows.mapInArrow(_passing(*filter_of(wanted, "set_id")), rows.schema).drop("h").dropDuplicates(["set_id"])
 
 
 def full_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -583,8 +604,9 @@ def classes(documents: DataFrame, with_rows: bool = False) -> DataFrame:
         pairs = materialise(pairs, "shingle-pairs")
         sketches = materialise(signs_of(signed, inside, both_ids(pairs), "sketch"), "shingle-sketches")
         close = materialise(sketched(pairs, sketches), "shingle-close")
-        prefixes = signs_of(signed, inside, both_ids(close), "prefix").withColumnRenamed("prefix", "held")
-        likely = materialise(tested(close, prefixes, may_link, _as_prefix), "shingle-likely")
+        wanted = materialise(inside.join(both_ids(close).distinct(), "id"), "shingle-wanted")
+        prefixes = signed_for(signed, wanted, "prefix").withColumnRenamed("prefix", "held")
+        likely = materialise(tested(close, prefixes, may_link, _as_prefix, wanted), "shingle-likely")
         if likely.isEmpty():
             found = likely
         else:
@@ -616,18 +638,21 @@ def keep_one(documents: DataFrame) -> DataFrame:
     Decided by row, not by doc_id: of exact copies with equal or null ids one
     stays, and a row goes only for links of its own text. Null texts and texts
     without words link with nothing and all stay. Rows equal in doc_id and text
-    are one. An empty table gives an empty result. A column __row of the input
-    is not allowed.
+    are one. An empty table gives an empty result. Columns __row and
+    __gone of the input are not allowed.
     """
     named = materialise(classes(documents, with_rows=True), "keep-one").where(F.col("n_shingles") > 0)
     key = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "row")
     rows = named.groupBy("class_id", key.alias("x")).agg(F.count("*").alias("times"))
     best = rows.groupBy("class_id").agg(F.min("x").alias("best"))
-    rows = materialise(rows.join(best, "class_id").select(F.col("x.row").alias("__row"), "times", (F.col("x") != F.col("best")).alias("gone")), "keep-one-rows")
-    left = documents.withColumn("__row", row_key()).join(rows.where("gone").select("__row"), "__row", "left_anti")
-    # Rows equal in doc_id and text are left; only texts of such rows are shuffled to keep one.
-    again = rows.where(~F.col("gone") & (F.col("times") > 1)).select("__row")
-    if again.isEmpty():
-        return left.drop("__row")
-    once = left.join(again, "__row", "left_semi").dropDuplicates(["__row"])
-    return left.join(again, "__row", "left_anti").unionByName(once).drop("__row")
+    rows = rows.join(best, "class_id").select(F.col("x.row").alias("__row"), "times", (F.col("x") != F.col("best")).alias("__gone"))
+    # Rows that go, and rows equal in doc_id and text, of which one stays.
+    marked = materialise(rows.where(F.col("__gone") | (F.col("times") > 1)).select("__row", "__gone"), "keep-one-rows")
+    maybe = maybe_in(marked, "__row")
+    keyed = documents.withColumn("__row", row_key())
+    # Whole texts are shuffled only if the filter can't tell that they stay.
+    met = keyed.where(maybe("__row")).join(marked, "__row", "left").where(~F.coalesce("__gone", F.lit(False)))
+    left = keyed.where(~maybe("__row")).unionByName(met.where(F.col("__gone").isNull()).drop("__gone"))
+    if not marked.where(~F.col("__gone")).isEmpty():
+        left = left.unionByName(met.where(F.col("__gone").isNotNull()).drop("__gone").dropDuplicates(["__row"]))
+    return left.drop("__row")
