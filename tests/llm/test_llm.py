@@ -241,6 +241,23 @@ def test_language_model_counts_and_quality(spark, real):
     assert total("score") > total("base_score")
 
 
+def test_language_model_cuts_texts_into_words_once():
+    """A chunk keeps word numbers; its words and pairs are counted from these without the texts."""
+    texts, held = [b"a b a b", b"", b"b b zebra", b"a b", b"zebra"], [False, False, True, False, False]
+    words, codes, lengths = pitman_yor.tokens_of(texts)
+    row = {"words": pitman_yor.packed(words), "codes": pitman_yor.packed_codes(codes), "lengths": lengths.tolist(), "held": held}
+    cut = pitman_yor.Cut(row, words[:0], 4)
+    name = {pitman_yor.xxhash.xxh3_64_intdigest(w): w for w in (b"", b"a", b"b", b"zebra")}
+    tokens = [[*t.split(), b""] for t in texts]
+    assert [name[x] for x in cut.words[cut.token_word].tolist()] == [w for t in tokens for w in t]
+    assert [name[x] for x in cut.words[cut.token_context].tolist()] == [w for t in tokens for w in (b"", *t[:-1])]
+    count = Counter((w, u) for t, h in zip(tokens, held) if not h for w, u in zip(t, (b"", *t[:-1])))
+    seen = {(name[w], name[u]): n for w, u, n in zip(cut.words[cut.w].tolist(), cut.words[cut.u].tolist(), cut.n.tolist())}
+    assert {k: n for k, n in seen.items() if n} == dict(count) and seen[b"zebra", b"b"] == 0
+    big = np.array([0, 255, 256, 2**24 + 5, 2**32 - 1], np.uint32)
+    assert (pitman_yor.unpacked_codes(pitman_yor.packed_codes(big)) == big).all() and not len(pitman_yor.unpacked_codes(pitman_yor.packed_codes(big[:0])))
+
+
 def test_language_model_minds_the_order_of_words(spark):
     """Word contexts: a text scores better than its words in another order, and than under single words."""
     texts = ["the cat sat on the mat", "a dog sat on the rug", "the dog lay on a mat", "a cat lay on the rug"] * 30
