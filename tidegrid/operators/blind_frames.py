@@ -50,6 +50,16 @@ def periods(signs: DataFrame, lags: tuple[int, int] = LAGS, peak: float = PEAK)
     return best.withColumn("k", F.row_number().over(order)).where(F.col("k") <= CANDIDATES).select("rec", F.col("lag").alias("period"), "z", "length")
 
 
+def _one_sided(alike: Column, rows: Column) -> Column:
+    from ..functions.special import log_binomial_tail
+
+    @F.pandas_udf("double")
+    def tail(k: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series(np.minimum(0.0, log_binomial_tail(k.to_numpy(float), n.to_numpy(float), np.full(len(k), 0.5))))
+
+    return tail(alike, rows)
+
+
 def _two_sided(ones: Column, rows: Column) -> Column:
     from ..functions.special import log_binomial_tail
 
@@ -65,14 +75,18 @@ def sync(signs: DataFrame, alpha: float = 1e-3) -> DataFrame:
 
     signs: rec, n dense from 0, x: 1 for a bit 0, -1 for a bit 1. A column counts if its bits are alike beyond
     COLUMN_P; the longest circular run of such columns is the word, without edges above EDGE_P and without a run of one
-    value at its end that a growing counter leaves. hits counts rows of the second half within an eighth of its bits. Streams without a word give no row.
+    value at its end that a growing counter leaves. An end column that is alike in the first half by chance shows in the
+    second, so ends that fail EDGE_P there go too; log_p allows for each word so tried. A word of which less than WORD bits
+    would be left stays as it is. hits counts rows of the second half within an eighth of its bits. Streams without a word give no row.
     """
     signs = signs.select("rec", F.col("n").cast("long").alias("n"), "x")
     found = settled(periods(signs))
     cell = signs.join(found, "rec").withColumn("row", F.floor(F.col("n") / F.col("period"))).withColumn("col", F.col("n") % F.col("period"))
     cell = cell.withColumn("rows", F.floor(F.col("length") / F.col("period"))).withColumn("half", F.floor(F.col("rows") / 2)).where("row < rows")
-    columns = cell.where("row < half").groupBy("rec", "period", "col", "rows").agg(F.count("*").alias("seen"), F.count_if(F.col("x") < 0).alias("ones"))
-    columns = settled(columns.withColumn("log_p", _two_sided(F.col("ones"), F.col("seen"))))
+    first, one = F.col("row") < F.col("half"), F.col("x") < 0
+    columns = cell.groupBy("rec", "period", "col", "rows").agg(F.count_if(first).alias("seen"), F.count_if(first & one).alias("ones"), F.count_if(~first).alias("later"), F.count_if(~first & one).alias("later_ones"))
+    alike = F.when(2 * F.col("ones") > F.col("seen"), F.col("later_ones")).otherwise(F.col("later") - F.col("later_ones"))
+    columns = settled(columns.withColumn("log_p", _two_sided(F.col("ones"), F.col("seen"))).withColumn("again", _one_sided(alike, F.col("later")) <= math.log(EDGE_P)))
     flags = columns.withColumn("flag", F.col("log_p") <= math.log(COLUMN_P))
     some = flags.groupBy("rec", "period").agg(F.avg(F.col("flag").cast("double")).alias("share")).where("share <= 0.6").select("rec", "period")
     # The circle is laid out twice; runs that begin in the first turn are all runs.
@@ -91,13 +105,22 @@ def sync(signs: DataFrame, alpha: float = 1e-3) -> DataFrame:
     # The strongest evidence wins, so that parts of a period lose to the period.
     inside = columns.join(runs.drop("rows"), ["rec", "period"]).where((F.col("col") - F.col("start") + 2 * F.col("period")) % F.col("period") < F.col("size"))
     inside = inside.withColumn("place", (F.col("col") - F.col("start") + 2 * F.col("period")) % F.col("period"))
-    one = F.struct("place", (2 * F.col("ones") > F.col("seen")).cast("int").alias("bit"))
-    words = inside.groupBy("rec", "period", "rows", "start", "size").agg((-F.sum(F.greatest(F.col("log_p"), F.lit(-690.0)))).alias("evidence"), F.transform(F.sort_array(F.collect_list(one)), lambda x: x["bit"]).alias("word"))
+    one = F.struct("place", (2 * F.col("ones") > F.col("seen")).cast("int").alias("bit"), "again")
+    words = inside.groupBy("rec", "period", "rows", "start", "size").agg((-F.sum(F.greatest(F.col("log_p"), F.lit(-690.0)))).alias("evidence"), F.sort_array(F.collect_list(one)).alias("cells"))
+    words = words.withColumn("word", F.transform("cells", lambda x: x["bit"])).withColumn("again", F.transform("cells", lambda x: x["again"])).drop("cells")
     best = Window.partitionBy("rec").orderBy(F.desc("evidence"), "period")
     words = words.withColumn("k", F.row_number().over(best)).withColumn("found", F.count("*").over(Window.partitionBy("rec"))).where("k = 1")
     tail = F.size("word") - F.coalesce(F.array_max(F.transform("word", lambda b, i: F.when(b != F.element_at("word", -1), i + 1))), F.lit(0))
     cut = F.when((tail >= WORD) & (F.size("word") - tail >= WORD), F.size("word") - tail).otherwise(F.size("word"))
-    words = settled(words.select("rec", "period", "rows", (F.col("start") % F.col("period")).alias("start"), F.slice("word", F.lit(1), cut).alias("word"), "found"))
+    words = words.withColumn("word", F.slice("word", F.lit(1), cut)).withColumn("again", F.slice("again", F.lit(1), F.size("word")))
+    holds = F.transform("again", lambda h, i: F.when(h, i))
+    words = words.withColumn("head", F.array_min(holds)).withColumn("end", F.array_max(holds) + 1)
+    enough = F.coalesce(F.col("end") - F.col("head") >= WORD, F.lit(False))
+    words = words.withColumn("head", F.when(enough, F.col("head")).otherwise(0)).withColumn("end", F.when(enough, F.col("end")).otherwise(F.size("word")))
+    words = words.withColumn("tried", F.col("found") * (1 + F.col("head")) * (1 + F.size("word") - F.col("end"))).withColumn("start", (F.col("start") + F.col("head")) % F.col("period"))
+    words = words.withColumn("word", F.slice("word", F.col("head") + 1, F.col("end") - F.col("head")))
+    # A run of one value can end the word only now, if a column behind it was there by chance.
+    words = settled(words.select("rec", "period", "rows", "start", F.slice("word", F.lit(1), cut).alias("word"), F.col("tried").alias("found")))
     held = cell.join(words.select("rec", "period", "start", "word"), ["rec", "period"]).where("row >= half")
     held = held.withColumn("place", (F.col("col") - F.col("start") + F.col("period")) % F.col("period")).where(F.col("place") < F.size("word"))
     wrong = F.element_at("word", (F.col("place") + 1).cast("int")) != (F.col("x") < 0).cast("int")
