@@ -21,7 +21,7 @@ def differs(spark, folder, name, tables):
     return plain(got) ^ plain(want)
 
 
-@pytest.mark.parametrize("name", ["blind_sync"])
+@pytest.mark.parametrize("name", ["blind_sync", "blind_fields"])
 def test_payload_column_alike_by_chance(spark, tmp_path, name):
     """The last payload bit is nearly always 1 in the first half of the frames: it stands before the sync word, and is no part of it."""
     import pyarrow as pa
