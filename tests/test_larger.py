@@ -4,6 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
+from tidegrid.operators import alignment, codes
 from tidegrid.plans import catalogue
 
 
@@ -31,3 +32,32 @@ def test_payload_column_alike_by_chance(spark, tmp_path, name):
     x[256:320, 62:] = 1.0
     tables = {"embeddings": pa.table({"vec_id": np.arange(384), "embedding": list(x)})}
     assert not differs(spark, tmp_path, name, tables)
+
+
+def test_start_where_blocks_repeat(spark, tmp_path):
+    """Equal blocks make each turn of a word a word: more starts than three look alike, and only the count of words and wrong bytes tells them apart."""
+    import pyarrow as pa
+
+    part = "".join(map(chr, np.random.default_rng(2).integers(97, 123, 223)))
+    texts = [part[:200].upper() + part[200:] + part * 5, part * 6, "".join(map(chr, np.random.default_rng(3).integers(97, 123, 1500)))]
+    assert not differs(spark, tmp_path, "rs_stream", {"documents": pa.table({"doc_id": [9365, 33589, 7], "text": texts})})
+
+
+def test_streams_of_bits_are_small_in_a_worker(spark):
+    """A long stream of words, packed: the score of its starts may take a few times its bytes, not eight bytes and more for each bit."""
+    import tracemalloc
+
+    data = np.random.default_rng(4).integers(0, 256, (6000, 223))
+    words = np.concatenate([data, codes.rs_parity(data, codes.roots())], axis=1).astype(np.uint8).tobytes()
+    caught = []
+    real = alignment._together
+    alignment._together = lambda streams, key, least, ddl, size, score: caught.append(score)
+    try:
+        alignment.word_start(spark.createDataFrame([(1, bytearray(b"x"), 8)], "id int, bits binary, count long"), "id", "bits", count="count")
+    finally:
+        alignment._together = real
+    tracemalloc.start()
+    which, (start,) = caught[0]([np.frombuffer(words, np.uint8)[40:]], np.array([8 * (len(words) - 40)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert which.tolist() == [0] and start.tolist() == [8 * 215] and peak < 30 * len(words)
