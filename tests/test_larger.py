@@ -61,3 +61,23 @@ def test_streams_of_bits_are_small_in_a_worker(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert which.tolist() == [0] and start.tolist() == [8 * 215] and peak < 30 * len(words)
+
+
+def test_depths_of_many_streams(spark):
+    """Bytes as a binary value: each depth against counts of all its words, for many streams of any length at once."""
+    rng, rows, want = np.random.default_rng(6), [], {}
+    for i in range(60):
+        n, depth = int(rng.integers(0, 9)), int(rng.integers(1, 6))
+        data = rng.integers(0, 256, (n, 223))
+        words = np.concatenate([data, codes.rs_parity(data, codes.roots())], axis=1)
+        for k in range(n):
+            at = rng.choice(255, int(rng.integers(0, 20)), replace=False)
+            words[k, at] ^= 0x33
+        m = n // depth * depth
+        x = words[:m].reshape(-1, depth, 255).transpose(0, 2, 1).ravel().astype(np.uint8)
+        rows.append((i, bytearray(x.tobytes())))
+        if m and (good := int((codes.rs_mended(words[:m])[1] >= 0).sum())):
+            want[i] = (depth, good)
+    rows.append((99, None))
+    got = alignment.interleave_depth(spark.createDataFrame(rows, "id long, x binary"), "id", "x").collect()
+    assert {r["id"]: (r["depth"], r["words"]) for r in got} == want
