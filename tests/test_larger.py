@@ -81,3 +81,43 @@ def test_depths_of_many_streams(spark):
     rows.append((99, None))
     got = alignment.interleave_depth(spark.createDataFrame(rows, "id long, x binary"), "id", "x").collect()
     assert {r["id"]: (r["depth"], r["words"]) for r in got} == want
+
+
+def test_paging_streams_as_rows_and_as_pieces(spark):
+    """Both forms give the same hits, words and pages, at whatever bit a piece is cut; the pages are those that were sent."""
+    from pyspark.sql import functions as F
+
+    from tidegrid.operators import paging
+
+    names = ["a page across two batches " * 3, "short"]
+    sent = spark.createDataFrame([(i, 8 * i + 2, t) for i, t in enumerate(names)], "i int, address long, text string")
+    pages = [r[0] for r in sent.orderBy("i").select(paging.page_words(F.col("address"), F.lit(3), F.col("text"))).collect()]
+    rows, parts = [], []
+    for rec, page in enumerate(pages):
+        slots = [paging.IDLE] * 4 + page + [paging.IDLE] * (44 - len(page))
+        words = [w for k in range(0, 48, 16) for w in (paging.SYNC, *slots[k : k + 16])]
+        bits = np.concatenate([np.ones(rec + 5, np.uint8), np.unpackbits(np.array(words, ">u4").view(np.uint8))]) ^ rec
+        rows += [(rec, n, int(b)) for n, b in enumerate(bits)]
+        parts += [(rec, begin, bytearray(octets), count) for begin, octets, count in paging.cut(bits, 77)]
+    found = []
+    for stream in (spark.createDataFrame(rows, "rec long, n long, bit int"), spark.createDataFrame(parts, "rec long, begin long, octets binary, count int")):
+        hits = paging.sync_hits(stream, 77)
+        grid = paging.grids(hits)
+        words = paging.code_words(stream, grid, 77)
+        best = paging.scan(words, grid)
+        found.append([sorted(map(tuple, x.collect())) for x in (hits, words, best, paging.pages(words, best))])
+    assert found[0] == found[1]
+    assert [(p[0], p[2], p[-1]) for p in found[0][3]] == [(i, 8 * i + 2, t) for i, t in enumerate(names)]
+
+
+def test_long_text_of_a_page(spark):
+    """A text of 4,000 characters there and back; worked out anew for each bit, it would take hours."""
+    from pyspark.sql import functions as F
+
+    from tidegrid.operators import paging
+
+    text = "".join(map(chr, np.random.default_rng(8).integers(33, 127, 4000)))
+    words = paging.page_words(F.lit(8).cast("long"), F.lit(3), F.col("text"))
+    data = F.transform(F.slice("w", 2, 9999), lambda w: F.call_function("shiftright", w, F.lit(11)).bitwiseAND(F.lit(0xFFFFF)))
+    out = spark.createDataFrame([(text,)], "text string").select(words.alias("w")).select(paging.message(data))
+    assert out.first()[0] == text

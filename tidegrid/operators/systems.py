@@ -21,8 +21,8 @@ def page_word(word: Column) -> tuple[Column, Column]:
 
 def page_word_of(data: Column) -> Column:
     """The code word of 21 data bits: data, check bits, parity."""
-    body = F.shiftleft(data, 10).bitwiseOR(codes.poly_mod(F.shiftleft(data, 10), BCH, 30))
-    return F.shiftleft(body, 1).bitwiseOR((F.bit_count(body) % 2).cast("long"))
+    body = F.transform(F.array(data), lambda x: F.shiftleft(x, 10).bitwiseOR(codes.poly_mod(F.shiftleft(x, 10), BCH, 30)))
+    return F.get(F.transform(body, lambda x: F.shiftleft(x, 1).bitwiseOR((F.bit_count(x) % 2).cast("long"))), 0)
 
 
 def page_fields(word: Column, slot: Column) -> dict[str, Column]:
