@@ -121,3 +121,21 @@ def test_long_text_of_a_page(spark):
     data = F.transform(F.slice("w", 2, 9999), lambda w: F.call_function("shiftright", w, F.lit(11)).bitwiseAND(F.lit(0xFFFFF)))
     out = spark.createDataFrame([(text,)], "text string").select(words.alias("w")).select(paging.message(data))
     assert out.first()[0] == text
+
+
+def test_lines_of_short_and_long_streams(spark, monkeypatch):
+    """Streams that a kernel has whole and streams transformed in two rounds have the same lines."""
+    from pyspark.sql import functions as F
+
+    from tidegrid.operators import lines
+
+    rng, rows = np.random.default_rng(9), []
+    for rec, size in enumerate((15, 16, 40, 150, 700)):
+        turn = 2 * np.pi * (0.07 + 0.05 * rec) * np.arange(size)
+        x = 0.3 * (rng.standard_normal(size) + 1j * rng.standard_normal(size)) + np.exp(1j * turn) + np.exp(-2j * turn)
+        rows += [(rec, n, float(v.real), float(v.imag)) for n, v in enumerate(x)]
+    samples, found = spark.createDataFrame(rows, "rec int, n long, i double, q double"), []
+    for most in (14, 8, 5):
+        monkeypatch.setattr(lines, "SHORT", most)
+        found.append(sorted(map(tuple, lines.find(samples, -0.5, 0.499, most=3).select("rec", "place", *(F.round(c, 6) for c in ("frequency", "uncertainty", "ratio"))).collect())))
+    assert {r[0] for r in found[0]} == {1, 2, 3, 4} and found[0] == found[1] == found[2]

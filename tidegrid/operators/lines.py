@@ -4,6 +4,7 @@ The transform of a whole stream is two rounds of short transforms: samples that
 task, then their results of one frequency class meet in another. So a task holds about the square root of
 a stream, and streams of all lengths go through one job. Levels are medians of blocks of
 bins, peaks are found in chunks of bins, and the few lines that stand out are refined by sums over the samples.
+Streams of up to 2**SHORT points do not need that: a kernel has many of them whole, and gives only their lines.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from . import ordered
 
 #: Bins of a level block, and bins on either side within which only the strongest stays.
 LEVEL, NEAR = 64, 4
+#: Streams whose transform has up to 2**SHORT points go whole through a kernel, so many points at once.
+SHORT, POINTS = 14, 1 << 19
 
 
 def sized(samples: DataFrame) -> DataFrame:
@@ -95,6 +98,66 @@ def find(samples: DataFrame, low: float, high: float, sequences: int = 1, alpha:
     reach allows for the independent bins of the band and for `sequences` searches. Streams of less than 16 samples have none.
     """
     x = sized(samples.where("n is not null and i is not null and q is not null")).where("count >= 16")
+    kind = x.schema["rec"].dataType.simpleString()
+    ddl = f"rec {kind}, place int, frequency double, uncertainty double, ratio double"
+    rows = x.where(F.col("m") <= SHORT).groupBy("rec", "m", "count").agg(F.collect_list(F.struct("n", "i", "q")).alias("rows"))
+    short = rows.mapInArrow(_short_kernel(low, high, sequences, alpha, most), ddl)
+    return short.unionByName(_find_long(x.where(F.col("m") > SHORT), low, high, sequences, alpha, most))
+
+
+def _short_kernel(low: float, high: float, sequences: int, alpha: float, most: int):
+    """find() for rows (rec, m, count, rows of n, i, q), those with one m together."""
+
+    def lines(m: int, count: np.ndarray, of: np.ndarray, n: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        points = 1 << m
+        if len(n) and n.max() >= points:
+            raise ValueError("n counts from 0 within a stream")
+        wide = np.zeros((len(count), 2 * points), complex)
+        wide[of, n] = x
+        # Twice the points: the even ones are the transform, the odd ones lie half a bin beside.
+        wide = np.fft.fft(wide, axis=1)
+        bins = np.arange(-points // 2, points // 2)
+        power = np.square(np.abs(wide[:, (2 * bins) % (2 * points)]))
+        mid = np.median(power.reshape(len(count), -1, LEVEL), axis=2) / math.log(2)
+        place = (bins + points // 2) / LEVEL - 0.5
+        left, last = np.floor(place).astype(int), points // LEVEL - 1
+        part = place - left
+        level = mid[:, np.clip(left, 0, last)] * (1 - part) + mid[:, np.clip(left + 1, 0, last)] * part
+        begin, end = math.ceil(low * points), math.floor(high * points)
+        band = (bins >= begin) & (bins <= end)
+        ratio, bins = (power / np.maximum(level, 1e-300))[:, band], bins[band]
+        none = np.full((len(count), NEAR), -np.inf)
+        top = np.lib.stride_tricks.sliding_window_view(np.concatenate([none, ratio, none], axis=1), 2 * NEAR + 1, axis=1).max(axis=2)
+        bar = np.log(np.maximum(1.0, np.floor((end - begin + 1) * count / points)) * (sequences / alpha))
+        row, at = np.nonzero((ratio == top) & (ratio > bar[:, None]))
+        order = np.lexsort((at, -ratio[row, at], row))
+        row, at = row[order], at[order]
+        number = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        row, at, number = row[number <= most], at[number <= most], number[number <= most]
+        a, b, c = (np.log(np.square(np.abs(wide[row, (2 * bins[at] + k) % (2 * points)])) + 1e-300) for k in (-1, 0, 1))
+        bend = a - 2 * b + c
+        shift = np.clip(np.where(bend < 0, 0.25 * (a - c) / np.where(bend < 0, bend, 1.0), 0.0), -1.0, 1.0)
+        strength = ratio[row, at]
+        return row, number, (bins[at] + shift) / points, np.sqrt(6.0 / strength) / (2 * math.pi * count[row]), strength
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m, count = batch.column("m").to_numpy(), batch.column("count").to_numpy()
+            for size in np.unique(m).tolist():
+                own = np.flatnonzero(m == size)
+                step = max(1, POINTS >> size)
+                for first in range(0, len(own), step):
+                    some = own[first : first + step]
+                    lists = batch.column("rows").take(pa.array(some))
+                    of, rows = np.repeat(np.arange(len(some)), lists.value_lengths().to_numpy()), lists.flatten()
+                    n, i, q = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("n", "i", "q"))
+                    row, place, *rest = lines(size, count[some].astype(float), of, n, i + 1j * q)
+                    yield pa.RecordBatch.from_arrays([batch.column("rec").take(pa.array(some[row])), pa.array(place.astype(np.int32)), *map(pa.array, rest)], names=["rec", "place", "frequency", "uncertainty", "ratio"])
+
+    return run
+
+
+def _find_long(x: DataFrame, low: float, high: float, sequences: int, alpha: float, most: int) -> DataFrame:
     points = F.pow(F.lit(2.0), F.col("m"))
     band = levelled(transform(x)).withColumn("ratio", F.col("power") / F.col("level")).where(F.col("bin").between(F.ceil(low * points), F.floor(high * points)))
     bins = F.floor(high * points) - F.ceil(low * points) + 1
@@ -155,12 +218,22 @@ def carrier_offsets(samples: DataFrame, order: int, peaky: float = 4.0) -> DataF
 
 def edge_energy(samples: DataFrame, scale: int) -> DataFrame:
     """How much the frequency, a mean over `scale` samples, changes from one stretch to the next: squared, as a stream."""
+    return edge_energies(samples, (scale,)).select(F.col("rec.rec").alias("rec"), "n", "i", "q")
+
+
+def edge_energies(samples: DataFrame, scales: tuple[int, ...]) -> DataFrame:
+    """The edge energies of several scales, from one pass; rec is (rec, scale)."""
     w = Window.partitionBy("rec", "chunk").orderBy("n")
-    x = ordered.with_halo(samples, 2 * scale, 0, "n").withColumn("i0", F.lag("i", scale).over(w)).withColumn("q0", F.lag("q", scale).over(w))
-    i, q, i0, q0 = map(F.col, ("i", "q", "i0", "q0"))
-    x = x.withColumn("f", F.atan2(q * i0 - i * q0, i * i0 + q * q0) / (2 * math.pi * scale))
-    x = x.withColumn("step", F.col("f") - F.lag("f", scale).over(w)).where(F.col("own") & F.col("step").isNotNull())
-    return x.select("rec", (F.col("n") - 2 * scale).alias("n"), (F.col("step") * F.col("step")).alias("i"), F.lit(0.0).alias("q"))
+    x = ordered.with_halo(samples, 2 * max(scales), 0, "n")
+    i, q = F.col("i"), F.col("q")
+    for k in scales:
+        x = x.withColumn(f"i{k}", F.lag("i", k).over(w)).withColumn(f"q{k}", F.lag("q", k).over(w))
+    x = x.select("rec", "chunk", "n", "own", *((F.atan2(q * F.col(f"i{k}") - i * F.col(f"q{k}"), i * F.col(f"i{k}") + q * F.col(f"q{k}")) / (2 * math.pi * k)).alias(f"f{k}") for k in scales))
+    for k in scales:
+        x = x.withColumn(f"s{k}", F.col(f"f{k}") - F.lag(f"f{k}", k).over(w))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("scale"), F.col(f"s{k}").alias("step")) for k in scales)))
+    x = x.where("own").select("rec", "n", each.alias("e")).where("e.step is not null")
+    return x.select(F.struct("rec", F.col("e.scale").alias("scale")).alias("rec"), (F.col("n") - 2 * F.col("e.scale")).alias("n"), (F.col("e.step") * F.col("e.step")).alias("i"), F.lit(0.0).alias("q"))
 
 
 def shift_keying_rates(samples: DataFrame, low: float = 0.01, high: float = 0.5, scales: tuple[int, ...] = (1, 2, 4, 8), harmonics: int = 4, tolerance: float = 0.002, most: int = 3) -> DataFrame:
@@ -169,11 +242,7 @@ def shift_keying_rates(samples: DataFrame, low: float = 0.01, high: float = 0.5,
     A line counts if another of its first `harmonics` multiples is a line of the same scale; its strength is the sum of
     their ratios. Symbols are three times the scale long at least. Of rates within a thousandth the strongest stays.
     """
-    found = None
-    for scale in scales:
-        own = find(edge_energy(samples, scale), low, high, most=24).select("rec", F.lit(scale).alias("scale"), "frequency", "ratio")
-        found = own if found is None else found.unionByName(own)
-    found = settled(found)
+    found = settled(find(edge_energies(samples, scales), low, high, most=24).select("rec.rec", "rec.scale", "frequency", "ratio"))
     base = found.where(F.col("frequency") * F.col("scale") * 3 <= 1)
     base = base.withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(harmonics)))).withColumn("target", F.col("k") * F.col("frequency"))
     other = found.select("rec", "scale", F.col("frequency").alias("f2"), F.col("ratio").alias("r2"))
